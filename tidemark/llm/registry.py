@@ -1,13 +1,16 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from . import mixing, url_filter
+from . import block_names, mixing, simhash, url_filter
 
 QUERIES = {
+    "op3_simhash_golay": simhash.op3_simhash_golay,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_exact_dedup": block_names.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLES = {
     "op6_url_filter": url_filter.ORACLE,
+    "op7_exact_dedup": block_names.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
