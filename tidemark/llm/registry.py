@@ -1,10 +1,11 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from . import block_names, mixing, simhash, token_codes, url_filter
+from . import block_names, hmm_lm, mixing, simhash, token_codes, url_filter
 
 QUERIES = {
     "op3_simhash_golay": simhash.op3_simhash_golay,
     "op4_token_codes": token_codes.op4_token_codes,
+    "op5_hmm_lm": hmm_lm.op5_hmm_lm,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_exact_dedup": block_names.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
