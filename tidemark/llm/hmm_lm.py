@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .chains import Chain, firsts, forward, marginals
 from .common import Scratch, crc_mod, ship, table
 
 HELD_OUT = 10
@@ -48,7 +49,6 @@ END_TYPE = 0
 WARM_TOKENS, WARM_ITERATIONS, ITERATIONS = 300_000, 20, 2
 CHUNK_BYTES = 8 << 20
 PRIOR = 0.5
-STEPS = 128
 #: Tokens that one pass of the recursions holds in memory.
 PIECE_TOKENS = 1 << 18
 
@@ -57,92 +57,12 @@ def word_class(word: bytes) -> int:
     return 1 + zlib.crc32(word[:1] + b"\0" + word[-2:]) % CLASSES
 
 
-# The recursions, over many documents at once
-
-
-class Chain:
-    """Blocks of a concatenation of documents; ``first`` marks the documents' first tokens."""
-
-    def __init__(self, first: np.ndarray):
-        self.n = len(first)
-        self.blocks = -(-self.n // STEPS)
-        pad = self.blocks * STEPS - self.n
-        self.first = np.concatenate([first, np.ones(pad, bool)]).reshape(self.blocks, STEPS)
-        self.starts = [np.nonzero(self.first[:, t])[0] for t in range(STEPS)]
-
-    def fold(self, e: np.ndarray) -> np.ndarray:
-        pad = self.blocks * STEPS - self.n
-        return np.concatenate([e, np.ones((pad, e.shape[1]))]).reshape(self.blocks, STEPS, -1)
-
-
-def _step(v: np.ndarray, trans: np.ndarray, initial: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Row vectors (..., K) one token on; documents that start forget what was before."""
-    out = v @ trans
-    if len(starts):
-        out[starts] = v[starts].sum(-1, keepdims=True) * initial
-    return out
-
-
-def forward(chain: Chain, e: np.ndarray, initial: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward vectors (blocks, STEPS, K), scales (blocks, STEPS), block matrices.
-
-    ``e`` are the folded emission weights. The product of the scales from a
-    document's first to its last token is its likelihood.
-    """
-    k = len(initial)
-    m = np.broadcast_to(np.eye(k), (chain.blocks, k, k)).copy()
-    for t in range(STEPS):
-        m = _step(m, trans, initial, chain.starts[t]) * e[:, t, None, :]
-        if t % 8 == 7:
-            m /= m.sum((1, 2), keepdims=True)
-    enter = np.empty((chain.blocks, k))
-    v = initial
-    for b in range(chain.blocks):
-        enter[b] = v
-        v = v @ m[b]
-        v = v / v.sum()
-    alpha, scale = np.empty((chain.blocks, STEPS, k)), np.empty((chain.blocks, STEPS))
-    v = enter
-    for t in range(STEPS):
-        v = _step(v, trans, initial, chain.starts[t]) * e[:, t]
-        s = v.sum(1)
-        v = v / s[:, None]
-        alpha[:, t], scale[:, t] = v, s
-    return alpha, scale, m
-
-
 def expected(chain: Chain, types: np.ndarray, e: np.ndarray, initial: np.ndarray, trans: np.ndarray, n_types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts: (initial K, transitions K x K, emissions types x K) and the log likelihood of the weights."""
-    f = chain.fold(e)
-    alpha, scale, m = forward(chain, f, initial, trans)
-    k = len(initial)
-    leave = np.empty((chain.blocks, k))
-    v = np.ones(k)
-    for b in range(chain.blocks - 1, -1, -1):
-        leave[b] = v
-        v = m[b] @ v
-        v = v / v.sum()
-    beta = np.empty_like(alpha)
-    v = leave
-    for t in range(STEPS - 1, -1, -1):
-        beta[:, t] = v
-        w = v * f[:, t]
-        v = w @ trans.T
-        if len(at := chain.starts[t]):
-            v[at] = (w[at] @ initial)[:, None]
-        v = v / v.sum(1, keepdims=True)
-    gamma = alpha * beta
-    gamma /= gamma.sum(2, keepdims=True)
-    n = chain.n
-    gamma, a = gamma.reshape(-1, k)[:n], alpha.reshape(-1, k)
-    first = chain.first.reshape(-1)[:n]
-    inner = np.nonzero(~first)[0]
-    # xi(t) = alpha(t-1) x trans x (e beta)(t), made to sum to one
-    after = (f * beta).reshape(-1, k)[inner]
-    total = ((a[inner - 1] @ trans) * after).sum(1, keepdims=True)
-    moves = (a[inner - 1].T @ (after / total)) * trans
-    emitted = np.stack([np.bincount(types, gamma[:, j], n_types) for j in range(k)], axis=1)
-    return gamma[first].sum(0), moves, emitted, float(np.log(scale.reshape(-1)[:n]).sum())
+    gamma, moves, scale = marginals(chain, e, initial, trans)
+    first = chain.first.reshape(-1)[: chain.n]
+    emitted = np.stack([np.bincount(types, gamma[:, j], n_types) for j in range(len(initial))], axis=1)
+    return gamma[first].sum(0), moves, emitted, float(np.log(scale).sum())
 
 
 class Model:
@@ -177,9 +97,7 @@ def train_local(types: np.ndarray, lengths: np.ndarray, type_counts: np.ndarray,
     model = Model.random(type_counts, states, seed)
     if not len(types):
         return model
-    first = np.zeros(len(types), bool)
-    first[np.cumsum(lengths) - lengths] = True
-    chain = Chain(first)
+    chain = Chain(firsts(lengths))
     for _ in range(iterations):
         initial, moves, emitted, _ = expected(chain, types, model.ratio[types], model.initial, model.trans, len(type_counts))
         model = Model.fitted(initial, moves, emitted, type_counts)
@@ -243,12 +161,6 @@ def _documents(row: dict) -> Iterator[tuple[slice, np.ndarray]]:
         a = b
 
 
-def _firsts(lengths: np.ndarray) -> np.ndarray:
-    first = np.zeros(int(lengths.sum()), bool)
-    first[np.cumsum(lengths) - lengths] = True
-    return first
-
-
 def _trained_documents(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(types, lengths) of a chunk's training documents, in runs."""
     types, lengths, held = np.asarray(row["types"], np.int64), np.asarray(row["lengths"], np.int64), np.asarray(row["held"], bool)
@@ -271,7 +183,7 @@ def _expectation(model: Model, n_types: int):
         for batch in batches:
             for row in batch.to_pylist():
                 for types, lengths in _trained_documents(row):
-                    a, b, c, _ = expected(Chain(_firsts(lengths)), types, model.ratio[types], model.initial, model.trans, n_types)
+                    a, b, c, _ = expected(Chain(firsts(lengths)), types, model.ratio[types], model.initial, model.trans, n_types)
                     start, moves, emitted, any_rows = start + a, moves + b, emitted + c, True
         if any_rows:
             used = np.nonzero(emitted.sum(1))[0]
@@ -322,7 +234,7 @@ def _score(model: Model, n: int, v: int, unseen: float):
                 lengths = np.asarray(row["lengths"], np.int64)
                 out = []
                 for docs, tokens in _documents(row):
-                    chain = Chain(_firsts(lengths[docs]))
+                    chain = Chain(firsts(lengths[docs]))
                     _, scale, _ = forward(chain, chain.fold(weight[tokens]), model.initial, model.trans)
                     at = np.cumsum(lengths[docs]) - lengths[docs]
                     ratio = np.log10(scale.reshape(-1)[: chain.n])
