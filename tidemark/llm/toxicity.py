@@ -1,16 +1,18 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
 Two states, clean and toxic. A token's features are its word and the word's
-beginnings and ends (3 to 5 characters), hashed; transitions carry spans.
-Forward-backward gives each token its marginal; a document's score is the
-chance that some of its notable tokens (marginal at least ``NOTABLE``) is
-toxic, or its largest marginal where none is notable. Tokens of marginal 0.5
-or more, neighbours joined, are the offending spans.
+beginnings and ends (3 to 6 characters), hashed; transitions carry spans.
+Forward-backward gives each token its marginal. A document's score is a
+logistic function, fitted on the sample, of its largest marginal's log odds and
+the log of its expected number of toxic tokens (sum of marginals of at least
+``NOTABLE``): a strong word counts at once, a weak one when it comes again.
+Tokens of marginal 0.5 or more, neighbours joined, are the offending spans.
 
 Labelled tokens: labels exist for documents only. In a bounded sample of
-labelled documents (near copies removed) a greedy cover chooses features that
-explain toxic documents and are (almost) absent from clean ones; the tokens of
-toxic documents that have such a feature are labelled toxic, all others clean.
+labelled documents (near copies removed) a greedy cover chooses features whose
+presence, or presence in several tokens, tells toxic documents from clean ones;
+the tokens of toxic documents that have such a feature are labelled toxic, all
+others clean.
 
 Scale: the sample's bounds are parameters and the fitted weights have a fixed
 size. Scoring is one pass without a shuffle: a token's weight depends on its
@@ -35,10 +37,13 @@ from .common import ASCII_LOWER, WORD, crc_mod, ship, table
 HELD_OUT = 5
 #: The sample that the field is fitted on: rows, bytes of a text, tokens of the gradient.
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TOKENS = 8000, 20_000, 400_000
+#: Features of a word at most, and their hashed numbers.
+FEATURES = 9
 DIM = 1 << 18
 COVER_DIM = 1 << 22
 ITERATIONS = 50
 NOTABLE = 0.1
+PURE = 0.85
 PUNCTUATION = b".,;:!?()[]{}\"'|"
 CACHE = 300_000
 PIECE_TOKENS = 1 << 19
@@ -47,13 +52,13 @@ PIECE_TOKENS = 1 << 19
 def features(word: bytes) -> list[bytes]:
     """The word without surrounding punctuation, its beginnings and its ends."""
     w = word.strip(PUNCTUATION).decode("utf-8", "replace")
-    out = [f"={w}"] + [f"^{w[:n]}" for n in (3, 4, 5) if len(w) >= n] + [f"{w[-n:]}$" for n in (3, 4, 5) if len(w) >= n]
+    out = [f"={w}"] + [f"^{w[:n]}" for n in (3, 4, 5, 6) if len(w) >= n] + [f"{w[-n:]}$" for n in (3, 4, 5, 6) if len(w) >= n]
     return [f.encode() for f in out]
 
 
 def hashed(words: list[bytes], dim: int) -> np.ndarray:
-    """(n, 7) feature numbers, 0 where a word has fewer."""
-    out = np.zeros((len(words), 7), np.int64)
+    """(n, FEATURES) feature numbers, 0 where a word has fewer."""
+    out = np.zeros((len(words), FEATURES), np.int64)
     for i, w in enumerate(words):
         for j, f in enumerate(features(w)):
             out[i, j] = 1 + zlib.crc32(f) % (dim - 1)
@@ -61,10 +66,11 @@ def hashed(words: list[bytes], dim: int) -> np.ndarray:
 
 
 class Field:
-    """Emission weights of the toxic state by feature (clean is 0), log start and transition weights."""
+    """Emission weights of the toxic state by feature (clean is 0), log start and transition
+    weights, and the weights of a document's score."""
 
-    def __init__(self, theta: np.ndarray, bias: float, start: np.ndarray, trans: np.ndarray):
-        self.theta, self.bias, self.start, self.trans = theta, bias, start, trans
+    def __init__(self, theta: np.ndarray, bias: float, start: np.ndarray, trans: np.ndarray, beta: np.ndarray | None = None):
+        self.theta, self.bias, self.start, self.trans, self.beta = theta, bias, start, trans, beta
         self.known: dict[bytes, float] = {}
 
     def __getstate__(self):
@@ -109,29 +115,36 @@ def _distinct(texts: list[tuple[bytes, int]]) -> list[tuple[list[bytes], int]]:
 def token_labels(docs: list[tuple[np.ndarray, int]], numbers: np.ndarray) -> np.ndarray:
     """Which words are toxic: by greedy cover of the toxic documents.
 
-    ``docs`` holds word numbers and the label, ``numbers`` (words, 7) features.
-    A candidate is in at most 2 % as many clean as toxic documents, and in
-    enough toxic ones that chance among all features can't explain it.
+    ``docs`` holds word numbers and the label, ``numbers`` (words, FEATURES). A
+    candidate is a feature in one token, or in several, of documents of which
+    PURE are toxic, so many of them that chance among all features can't
+    explain it (by the divergence of the two shares).
     """
-    toxic_docs = [w for w, y in docs if y]
-    share = max(len(toxic_docs), 1) / max(len(docs), 2)
-    frequency = np.zeros((2, COVER_DIM), np.int32)
-    own = [np.unique(numbers[np.unique(w)]) for w, _ in docs]
-    for f, (_, y) in zip(own, docs, strict=True):
-        frequency[y, f] += 1
-    frequency[:, 0] = 0
-    least = max(4, (np.log(max(1, np.count_nonzero(frequency[1] > 2))) + 3) / np.log(1 / min(0.9, share)))
-    found = np.nonzero((frequency[1] >= least) & (frequency[0] <= 0.02 * frequency[1]))[0]
-    has = np.stack([np.isin(found, f) for f, (_, y) in zip(own, docs, strict=True) if y]) if toxic_docs and len(found) else np.zeros((0, 0), bool)
+    toxic = np.array([y for _, y in docs], bool)
+    share = toxic.mean()
+    own = [np.unique(numbers[w], return_counts=True) for w, _ in docs]
+    found: list[np.ndarray] = []
+    for least in (1, 2):
+        n = np.zeros((2, COVER_DIM), np.int32)
+        for (f, c), y in zip(own, toxic, strict=True):
+            n[int(y), f[c >= least]] += 1
+        n[:, 0] = 0
+        pure = n[1] / np.maximum(1, n.sum(0))
+        told = n.sum(0) * (pure * np.log(np.maximum(pure, 1e-9) / share) + (1 - pure) * np.log(np.maximum(1 - pure, 1e-9) / (1 - share)))
+        found.append(np.nonzero((pure >= PURE) & (told >= np.log(max(1, np.count_nonzero(n[1] > 2))) + 3))[0])
+    if not sum(map(len, found)):
+        return np.zeros(len(numbers), bool)
+    rows = [np.concatenate([np.isin(found[0], f), np.isin(found[1], f[c >= 2])]) for (f, c), y in zip(own, toxic, strict=True) if y]
+    has, names = np.stack(rows), np.concatenate(found)
     covered, chosen = np.zeros(len(has), bool), []
-    while has.size:
+    while True:
         gain = has[~covered].sum(0) + 0.2 * has[covered].sum(0)
         gain[chosen] = 0
-        if gain.max() < least:
+        if gain.max() < 4:
             break
         chosen.append(int(gain.argmax()))
         covered |= has[:, chosen[-1]]
-    return np.isin(numbers, found[chosen]).any(1)
+    return np.isin(numbers, names[chosen]).any(1)
 
 
 def fit(texts: list[tuple[bytes, int]]) -> Field | None:
@@ -171,17 +184,43 @@ def fit(texts: list[tuple[bytes, int]]) -> Field | None:
         gamma, moves, _ = field.run((field.theta[x].sum(1) + field.bias)[tokens], lengths)
         off = gamma[:, 1] - truth
         by_word = np.bincount(tokens, off, len(used))
-        g = np.bincount(x.ravel(), np.repeat(by_word, 7), DIM)
+        g = np.bincount(x.ravel(), np.repeat(by_word, FEATURES), DIM)
         g[0] = 0
         g = np.concatenate([g, [off.sum()], gamma[first].sum(0) - seen_start, (moves - seen_moves).ravel()]) + 0.05 * value
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         value = value - 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    return Field(value[:DIM].copy(), float(value[DIM]), value[DIM + 1 : DIM + 3].copy(), value[DIM + 3 :].reshape(2, 2).copy())
+    field = Field(value[:DIM].copy(), float(value[DIM]), value[DIM + 1 : DIM + 3].copy(), value[DIM + 3 :].reshape(2, 2).copy())
+    shown, labels = [], []
+    for at in range(0, len(docs), 500):
+        part = docs[at : at + 500]
+        lengths = np.array([len(w) for w, _ in part])
+        p = field.marginals(field.tokens([w for d, _ in part for w in d]), lengths)
+        shown += [evidence(x) for x in np.split(p, np.cumsum(lengths)[:-1])]
+        labels += [y for _, y in part]
+    field.beta = logistic(np.array(shown), np.array(labels, float))
+    return field
 
 
-def document_score(p: np.ndarray) -> float:
-    notable = p[p >= NOTABLE]
-    return float(-np.expm1(np.log1p(-np.minimum(notable, 1 - 1e-12)).sum())) if len(notable) else float(p.max(initial=0.0))
+def evidence(p: np.ndarray) -> list[float]:
+    """Of a document's marginals: one, the largest one's log odds, the log of the expected number."""
+    top = np.clip(p.max(initial=0.0), 1e-6, 1 - 1e-6)
+    return [1.0, float(np.log(top / (1 - top))), float(np.log1p(p[p >= NOTABLE].sum()))]
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a penalised logistic regression with no negative slope, by projected Newton steps."""
+    beta, penalty = np.zeros(x.shape[1]), np.array([1e-3, 0.1, 0.1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6)
+        step = np.linalg.solve(h, x.T @ (p - y) + penalty * beta)
+        beta = beta - step * min(1, 2 / max(1e-9, np.abs(step).max()))
+        beta[1:] = np.maximum(beta[1:], 0)
+    return beta
+
+
+def document_score(field: Field, p: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-np.clip(np.dot(evidence(p), field.beta), -30, 30))))
 
 
 def spans(text: str, p: np.ndarray) -> list[dict]:
@@ -208,13 +247,14 @@ def _score(field: Field | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            score, found = [0.0] * len(texts), [[] for _ in texts]
+            nothing = document_score(field, np.zeros(0)) if field else 0.0
+            score, found = [nothing] * len(texts), [[] for _ in texts]
 
             def flush(rows: list[int], words: list[list[bytes]]) -> None:
                 lengths = np.array([len(w) for w in words])
                 p = field.marginals(field.tokens([w for d in words for w in d]), lengths)  # noqa: B023
                 for i, part in zip(rows, np.split(p, np.cumsum(lengths)[:-1]), strict=True):
-                    score[i] = document_score(part)  # noqa: B023
+                    score[i] = document_score(field, part)  # noqa: B023
                     if (part >= 0.5).any():
                         found[i] = spans(texts[i].decode("utf-8", "replace"), part)  # noqa: B023
 
@@ -258,8 +298,8 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, key: str = "doc_id", t
 def score_toxicity(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
     """``docs`` without its text, plus score, spans and predicted (1 if score >= 0.5).
 
-    Null, empty and wordless texts have score 0 and no spans, as has every text
-    if no field could be fitted. Columns named score, spans or predicted are
+    Null, empty and wordless texts have the score of no evidence and no spans;
+    every text has score 0 if no field could be fitted. Columns named score, spans or predicted are
     replaced. Every row, repeated or not, gives a row.
     """
     ship(docs.sparkSession)
