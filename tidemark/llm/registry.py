@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from . import block_names, hmm_lm, mixing, simhash, token_codes, toxicity, url_filter
+from . import block_names, decontaminate, hmm_lm, mixing, simhash, token_codes, toxicity, url_filter
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_toxicity_crf": toxicity.op2_toxicity_crf,
     "op3_simhash_golay": simhash.op3_simhash_golay,
     "op4_token_codes": token_codes.op4_token_codes,
