@@ -30,13 +30,14 @@ prefix sum over parts is the only thing the driver sees: one number a part.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,75 +51,148 @@ END = 0
 #: A segment closes at the first document end after so many tokens.
 SEGMENT_TOKENS = 1 << 18
 #: Pieces of text whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 1_200_000
 
 
 class Encoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
     Such a tokenizer merges only within pieces cut by a fixed pattern, so a
-    text's ids are those of its pieces one after another; repeated pieces are
-    encoded once. Texts with characters outside a range where the pattern's
-    character classes are beyond doubt, or with an added token's string, are
-    encoded whole.
+    text's ids are those of its pieces one after another; pieces that come
+    often are encoded once and kept. Where white space comes singly and no
+    other sign stands before a closing . or , the cuts are plain splits; other
+    texts are cut by the pattern; texts with characters outside a range where
+    the pattern's character classes are beyond doubt, or with an added token's
+    string, are encoded whole.
     """
 
-    #: The pattern that cuts pieces, and the characters it is used on.
+    #: The pattern that cuts pieces, the characters it is used on, and
+    #: white space or signs that call for the pattern rather than plain splits.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    PLAIN = "[^\t\n\r -~¡-ſ]"
+    STRANGE = r"[^\t\n\r -~\x{a1}-\x{17f}]"
+    UNEVEN = r"[\t\r]|[ \n][ \n]|(?:\A|[^a-zA-Z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}])[.,](?:[ \n]|\z)"
+    CUT = "\0"
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, most: int = CACHE):
         import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(file)
         self.pieces = regex.compile(self.PATTERN).findall
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([self.PLAIN, *added])).search
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuts = "use_regex=True" in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
-        self.reset()
-
-    def reset(self) -> None:
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.most = most
         self.index: dict[str, int] = {}
-        self.flat, self.start, self.n, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.flat, self.start, self.n, self.hits, self.used = np.zeros(1 << 16, np.uint32), *(np.zeros(1 << 14, np.int64) for _ in range(3)), 0
+
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of even texts one after another, and how many each text has.
+
+        A line end put behind each text ends its last word; the two pieces that
+        it makes are the last ones.
+        """
+        c, x = self.CUT, pc.binary_join_element_wise(texts, "\n", "")
+        for sign in (".", ","):
+            for space in (" ", "\n"):
+                x = pc.replace_substring(x, sign + space, c + sign + space)
+        x = pc.replace_substring(pc.replace_substring(x, "\n", f"{c}\n{c}"), " ", f"{c} ")
+        lists = pc.split_pattern(x, c)
+        return lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the half of the pieces that came most often of late."""
+        names = list(self.index)
+        keep = np.sort(np.argsort(-self.hits[: len(names)], kind="stable")[: self.most // 2])
+        n, before = self.n[keep], self.start[keep]
+        start = np.cumsum(n) - n
+        flat = self.flat[np.repeat(before - start, n) + np.arange(int(n.sum()))]
+        self.index = dict(zip((names[i] for i in keep.tolist()), range(len(keep)), strict=True))
+        self.used = len(flat)
+        self.flat[: self.used], self.start[: len(keep)], self.n[: len(keep)] = flat, start, n
+        self.hits[:] = 0
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.index) + len(pieces) > CACHE:
-            self.reset()
-        for e in range(0, len(pieces), 10_000):
-            part = pieces[e : e + 10_000]
+        """Encodes new pieces; those without a line end as the lines of one text."""
+        plain = [p for p in pieces if p and not p[-1].isspace()] if len(self.line) == 1 else []
+        rest = [p for p in pieces if not p or p[-1].isspace()] if len(self.line) == 1 else pieces
+        for e in range(0, len(plain), 20_000):
+            part = plain[e : e + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.nonzero(ids == self.line[0])[0], len(ids))
+            if len(ends) != len(part):  # a line end within a piece
+                rest = rest + part
+            else:
+                self._keep(part, np.diff(ends, prepend=-1) - 1, np.delete(ids, ends[:-1]))
+        for e in range(0, len(rest), 10_000):
+            part = rest[e : e + 10_000]
             found = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             n = np.fromiter(map(len, found), np.int64, len(found))
-            k, total = len(self.index), int(n.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while k + len(part) > len(self.n):
-                self.start, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.n))
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-            self.n[k : k + len(part)] = n
-            self.start[k : k + len(part)] = self.used + np.cumsum(n) - n
-            self.used += total
-            self.index.update(zip(part, range(k, k + len(part)), strict=True))
+            self._keep(part, n, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())))
+
+    def _keep(self, pieces: list[str], n: np.ndarray, ids: np.ndarray) -> None:
+        k, total = len(self.index), len(ids)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + len(pieces) > len(self.n):
+            self.start, self.n, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.n, self.hits))
+        self.flat[self.used : self.used + total] = ids
+        self.n[k : k + len(pieces)] = n
+        self.start[k : k + len(pieces)] = self.used + np.cumsum(n) - n
+        self.used += total
+        self.index.update(zip(pieces, range(k, k + len(pieces)), strict=True))
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        """Places of distinct pieces; new ones are learned."""
+        places = list(map(self.index.get, pieces))
+        if None in places:
+            new = [p for p, i in zip(pieces, places, strict=True) if i is None]
+            if len(self.index) + len(new) > self.most and len(self.index) > self.most // 2:
+                self._forget()
+                new = [p for p in pieces if p not in self.index]
+            self._learn(new)
+            places = list(map(self.index.__getitem__, pieces))
+        return np.array(places, np.int64)
+
+    def _ids(self, pieces: pa.Array, sizes: np.ndarray, ending: int) -> list[np.ndarray]:
+        """The ids of texts of so many pieces each, without those of the last ``ending`` pieces of each."""
+        coded = pieces.dictionary_encode()
+        k = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        self.hits[: len(self.index)] += np.bincount(k, minlength=len(self.index))
+        n, ends = self.n[k], np.cumsum(sizes)
+        for last in range(1, ending + 1):
+            n[ends - last] = 0
+        upto = np.cumsum(n)
+        ids = self.flat[np.repeat(self.start[k] - (upto - n), n) + np.arange(int(upto[-1]))]
+        return np.split(ids, upto[ends - 1][:-1])
+
+    def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array; null is empty."""
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = pc.match_substring_regex(texts, self.STRANGE)
+        for word in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, word))
+        whole = whole.to_numpy(zero_copy_only=False) | (not self.cuts)
+        uneven = pc.match_substring_regex(texts, self.UNEVEN).to_numpy(zero_copy_only=False) & ~whole
+        even = ~whole & ~uneven
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        if even.any():
+            for i, x in zip(np.nonzero(even)[0].tolist(), self._ids(*self.split(texts.filter(pa.array(even))), 2), strict=True):
+                out[i] = x
+        if uneven.any():
+            cut = [self.pieces(t) for t in texts.filter(pa.array(uneven)).to_pylist()]
+            pieces = pa.array(list(chain.from_iterable(cut)), pa.string())
+            for i, x in zip(np.nonzero(uneven)[0].tolist(), self._ids(pieces, np.array([len(c) for c in cut]), 0), strict=True):
+                out[i] = x
+        for i in np.nonzero(whole)[0].tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.cuts or self.odd(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = self.pieces(text)
-        out = []
-        for at in range(0, len(pieces), CACHE // 4):
-            part = pieces[at : at + CACHE // 4]
-            if new := [p for p in set(part) if p not in self.index]:
-                size = len(self.index)
-                self._learn(new)
-                if len(self.index) < size + len(new):  # started afresh
-                    self._learn([p for p in set(part) if p not in self.index])
-            k = np.fromiter(map(self.index.__getitem__, part), np.int64, len(part))
-            n = self.n[k]
-            total = int(n.sum())
-            before = np.cumsum(n) - n
-            out.append(self.flat[np.repeat(self.start[k] - before, n) + np.arange(total)])
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        return self.encode_many(pa.array([text], pa.string()))[0]
 
 
 def write_segment(ids: np.ndarray, doc_ids: list[int | None], starts: list[int], width: int = WIDTH) -> bytes:
@@ -240,10 +314,10 @@ def _encode(tokenizer: str, end: int, width: int, limit: int):
             return pa.record_batch([pa.array([x], f.type) for x, f in zip((part, seq, at, n, len(docs), blob), _FILE, strict=True)], schema=_FILE)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, found in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1)), strict=True):
                 docs.append(doc)
                 starts.append(n)
-                ids += [found := enc.encode(text or ""), tail]
+                ids += [found, tail]
                 n += len(found) + 1
                 if n >= limit:
                     yield closed()
