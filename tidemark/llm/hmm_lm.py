@@ -12,8 +12,8 @@ the unseen word, the outcomes the add-0.1 base has too.
 Training covers every training document: one map-side-combined count of all
 words, then full Baum-Welch iterations whose expected counts are summed over
 partitions. The state table is bounded (types x states, whatever the input), so
-it travels by closure; the vocabulary is not, and stays a distributed table that
-is joined to the words of each chunk. Only the start of the iterations, which
+it travels by closure; the vocabulary is not, and stays a distributed table with
+a row for each word and chunk. Only the start of the iterations, which
 must break symmetry, comes from a bounded sample (``warm_tokens``).
 
 Chunks: a worker codes about 8 MB of text at a time against the chunk's own
@@ -28,11 +28,12 @@ long document costs what many short ones do.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ from .chains import Chain, firsts, forward, marginals
 from .common import Scratch, crc_mod, ship, table
 
 HELD_OUT = 10
-STATES = 6
+STATES = 4
 TOP_WORDS = 1 << 16
 CLASSES = 1 << 12
 #: Types: 0 the end, 1..CLASSES the shared ones, then the frequent words; -1 marks a word unseen in training.
@@ -115,44 +116,45 @@ _CHUNK_SQL = "chunk bigint, ids array<bigint>, held array<boolean>, lengths arra
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (id, held, text) to chunks: tokens are places in the chunk's words, 0 the end."""
     chunk = TaskContext.get().partitionId() << 32
-    ids, held, lengths, tokens, size = [], [], [], [], 0
-    place: dict[bytes, int] = {b"": 0}  # no word is empty
-    trained: Counter = Counter()
+
+    def fresh():
+        place: defaultdict[bytes, int] = defaultdict()
+        place.default_factory = place.__len__  # a new word gets the next place
+        place[b""] = 0  # the end: no word is empty
+        return place, ([], [], [], []), 0
+
+    place, (ids, held, lengths, tokens), size = fresh()
 
     def closed() -> pa.RecordBatch:
-        words = list(place)
-        row = (chunk, ids, held, lengths, np.concatenate(tokens).astype("<i4").tobytes(), words, [trained.get(w, 0) for w in range(len(words))])
+        code = np.concatenate(tokens)
+        seen = np.bincount(code[np.repeat(~np.array(held, bool), lengths)], minlength=len(place))
+        row = (chunk, ids, held, lengths, zstandard.compress(code.astype("<i4").tobytes(), 1), list(place), seen.astype(np.int32))
         return pa.record_batch([pa.array([x], f.type) for x, f in zip(row, _CHUNK, strict=True)], schema=_CHUNK)
 
     for batch in batches:
         for i, h, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
             words = (text or b"").lower().split()
-            for w in set(words):
-                if w not in place:
-                    place[w] = len(place)
-            code = np.fromiter(map(place.__getitem__, words), np.int32, len(words))
-            if not h:
-                found, n = np.unique(code, return_counts=True)
-                for w, c in zip(found.tolist(), n.tolist(), strict=True):
-                    trained[w] += c
-                trained[0] += 1
             ids.append(i)
             held.append(h)
             lengths.append(len(words) + 1)
-            tokens += [code, np.zeros(1, np.int32)]
+            tokens += [np.fromiter(map(place.__getitem__, words), np.int32, len(words)), np.zeros(1, np.int32)]
             size += len(text or b"") + 16
             if size >= CHUNK_BYTES:
                 yield closed()
-                chunk, ids, held, lengths, tokens, size = chunk + 1, [], [], [], [], 0
-                place, trained = {b"": 0}, Counter()
+                chunk += 1
+                place, (ids, held, lengths, tokens), size = fresh()
     if ids:
         yield closed()
 
 
+def _tokens(row: dict) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(row["tokens"]), "<i4")
+
+
 def _documents(row: dict) -> Iterator[tuple[slice, np.ndarray]]:
     """Runs of a chunk's documents of bounded tokens: which documents, which tokens."""
     lengths = np.asarray(row["lengths"], np.int64)
-    tokens, ends = np.frombuffer(row["tokens"], "<i4"), np.cumsum(lengths)
+    tokens, ends = _tokens(row), np.cumsum(lengths)
     a = 0
     while a < len(lengths):
         at = int(ends[a] - lengths[a])
@@ -204,7 +206,7 @@ def _sample(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                types, tokens = np.asarray(row["types"], np.int32), np.frombuffer(row["tokens"], "<i4")
+                types, tokens = np.asarray(row["types"], np.int32), _tokens(row)
                 ends = np.cumsum(row["lengths"])
                 keys, out = [], []
                 for i, h, n, end in zip(row["ids"], row["held"], row["lengths"], ends.tolist(), strict=True):
@@ -245,6 +247,21 @@ def _score(model: Model, n: int, v: int, unseen: float):
     return run
 
 
+def _frequent(vocabulary: DataFrame) -> DataFrame:
+    """(word, own): the words of the largest counts, as many whole counts as fit into TOP_WORDS, with their types.
+
+    The least count comes from the table of how many words have each count.
+    """
+    by_count = vocabulary.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.col("c").desc())
+    rows, total, least = by_count.limit(TOP_WORDS).collect(), 0, 1 << 62  # counts of at least one word each
+    for c, n in rows:
+        if (total := total + n) > TOP_WORDS:
+            break
+        least = c
+    own = F.row_number().over(Window.orderBy(F.col("c").desc(), "word")) + CLASSES  # TOP_WORDS rows at most
+    return vocabulary.filter(F.col("c") >= least).select("word", own.alias("own"))
+
+
 def score_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", held_out=None, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
@@ -259,27 +276,28 @@ def score_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     held_out = crc_mod(key, HELD_OUT) == 0 if held_out is None else held_out
     chunks = scratch.save(docs.select(F.col(key).cast("long"), held_out, F.col(text).cast("binary")).mapInArrow(_code, _CHUNK_SQL))
     words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "seen")).alias("place", "w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.seen").alias("seen"))
-    # One row per word and chunk of any text; a word's count is over training rows.
-    vocabulary = scratch.save(words.groupBy("word").agg(F.sum("seen").alias("c")))
+    # A row per word and chunk, with the word's count over all training rows; the first row of a word stands for it.
+    of = Window.partitionBy("word")
+    first = F.row_number().over(of.orderBy("chunk")) == 1
+    lexicon = scratch.save(words.withColumn("c", F.sum("seen").over(of)).withColumn("first", first).drop("seen"))
+    vocabulary = lexicon.filter("first")
     n, v, once = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
     unseen = (once + 1) / (n + 1)
-    top = vocabulary.filter((F.col("word") != b"") & (F.col("c") > 1)).orderBy(F.col("c").desc(), "word").limit(TOP_WORDS)
-    top = scratch.save(top.select("word", (F.row_number().over(Window.orderBy(F.col("c").desc(), "word")) + CLASSES).alias("own")))
+    top = scratch.save(_frequent(vocabulary.filter((F.col("word") != b"") & (F.col("c") > 1))))
     shared = F.crc32(F.concat(F.substring("word", 1, 1), F.lit(b"\0"), F.expr("substring(word, greatest(length(word) - 1, 1), 2)"))) % CLASSES + 1
     kind = F.when(F.col("c") == 0, -1).when(F.col("word") == b"", END_TYPE).otherwise(F.coalesce(F.col("own").cast("long"), shared)).cast("int")
-    lexicon = scratch.save(vocabulary.join(F.broadcast(top), "word", "left").select("word", "c", kind.alias("type")))
+    typed = lexicon.join(F.broadcast(top), "word", "left").select("chunk", "place", "c", "first", kind.alias("type"))
     n_types = 1 + CLASSES + TOP_WORDS
     type_counts = np.zeros(n_types)
-    for t, c in lexicon.filter("type >= 0").groupBy("type").agg(F.sum("c")).collect():  # n_types rows at most
+    for t, c in typed.filter("first and type >= 0").groupBy("type").agg(F.sum("c")).collect():  # n_types rows at most
         type_counts[t] = c
-    entry = F.struct("place", "type", "c")
-    looked = words.select("chunk", "place", "word").join(lexicon, "word").groupBy("chunk").agg(F.sort_array(F.collect_list(entry)).alias("lex"))
+    looked = typed.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "type", "c"))).alias("lex"))
     ready = scratch.save(
         chunks.drop("words", "seen")
         .join(looked, "chunk")
         .select("ids", "held", "lengths", "tokens", F.transform("lex", lambda x: x["type"]).alias("types"), F.transform("lex", lambda x: x["c"]).alias("counts"))
     )
-    scratch.drop(chunks, vocabulary, lexicon)
+    scratch.drop(chunks, lexicon)
     limit = min(1.0, 2 * WARM_TOKENS / max(1, n)) * 2**32
     picked = ready.mapInArrow(_sample(int(limit)), "key bigint, types binary").orderBy("key", "types").limit(WARM_TOKENS // 20).collect()
     sample, total = [], 0
