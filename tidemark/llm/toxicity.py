@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from .common import ASCII_LOWER, WORD, crc_mod, ship, table
 
 HELD_OUT = 5
 #: The sample that the field is fitted on: rows, bytes of a text, tokens of the gradient.
-SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TOKENS = 8000, 20_000, 400_000
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TOKENS = 8000, 20_000, 300_000
 #: Features of a word at most, and their hashed numbers.
 FEATURES = 9
 DIM = 1 << 18
@@ -56,15 +56,20 @@ def features(word: bytes) -> list[bytes]:
     return [f.encode() for f in out]
 
 
-def hashed(words: list[bytes], dim: int) -> np.ndarray:
-    """(n, FEATURES) feature numbers, 0 where a word has fewer."""
-    out = np.zeros((len(words), FEATURES), np.int64)
+def hashes(words: list[bytes]) -> np.ndarray:
+    """(n, FEATURES) crc32 of the words' features, 0 where a word has fewer."""
+    out = np.zeros((len(words), FEATURES), np.uint32)
     for i, w in enumerate(words):
-        for j, f in enumerate(features(w)):
-            out[i, j] = 1 + zlib.crc32(f) % (dim - 1)
+        found = [zlib.crc32(f) for f in features(w)]
+        out[i, : len(found)] = found
     return out
 
 
+def numbered(raw: np.ndarray, dim: int) -> np.ndarray:
+    """Feature numbers below ``dim``, 0 for none."""
+    return np.where(raw > 0, 1 + raw % np.uint32(dim - 1), 0).astype(np.int32)
+
+
 class Field:
     """Emission weights of the toxic state by feature (clean is 0), log start and transition
     weights, and the weights of a document's score."""
@@ -77,7 +82,7 @@ class Field:
         return self.__dict__ | {"known": {}}
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
-        return self.theta[hashed(words, DIM)].sum(1) + self.bias
+        return self.theta[numbered(hashes(words), DIM)].sum(1) + self.bias
 
     def tokens(self, words: list[bytes]) -> np.ndarray:
         if new := [w for w in set(words) if w not in self.known]:
@@ -98,18 +103,24 @@ class Field:
         return marginals(Chain(firsts(lengths)), e, np.exp(self.start), np.exp(self.trans))
 
 
-def _distinct(texts: list[tuple[bytes, int]]) -> list[tuple[list[bytes], int]]:
-    """Words and label of each text that shares none of four min-hashes of word triples with an earlier one."""
+def _coded(texts: Iterable[tuple[bytes, int]]) -> tuple[list[bytes], list[tuple[np.ndarray, int]]]:
+    """The words of the sample, and each text's word numbers and label.
+
+    A text that shares one of four min-hashes of word triples with an earlier one is left out.
+    """
+    place: dict[bytes, int] = {}
     seen: set[tuple[int, int]] = set()
     out = []
     for text, label in texts:
         words = text.lower().split()
+        if not words:
+            continue
         grams = np.array([zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
         marks = {(j, int((grams * np.uint64(m) % np.uint64(4294967291)).min())) for j, m in enumerate((2654435761, 40503, 2246822519, 3266489917))}
-        if words and not marks & seen:
-            out.append((words, label))
+        if not marks & seen:
+            out.append((np.array([place.setdefault(w, len(place)) for w in words], np.int32), label))
         seen |= marks
-    return out
+    return list(place), out
 
 
 def token_labels(docs: list[tuple[np.ndarray, int]], numbers: np.ndarray) -> np.ndarray:
@@ -122,20 +133,29 @@ def token_labels(docs: list[tuple[np.ndarray, int]], numbers: np.ndarray) -> np.
     """
     toxic = np.array([y for _, y in docs], bool)
     share = toxic.mean()
-    own = [np.unique(numbers[w], return_counts=True) for w, _ in docs]
     found: list[np.ndarray] = []
-    for least in (1, 2):
-        n = np.zeros((2, COVER_DIM), np.int32)
-        for (f, c), y in zip(own, toxic, strict=True):
-            n[int(y), f[c >= least]] += 1
+
+    def own(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(numbers[w], return_counts=True)
+
+    counts = np.zeros((2, 2, COVER_DIM), np.int32)  # by least, label, feature
+    for w, y in docs:
+        f, c = own(w)
+        counts[0, y, f] += 1
+        counts[1, y, f[c >= 2]] += 1
+    for n in counts:
         n[:, 0] = 0
-        pure = n[1] / np.maximum(1, n.sum(0))
+        often = np.nonzero(n[1] > 2)[0]
+        n = n[:, often]  # noqa: PLW2901
+        pure = n[1] / n.sum(0)
         told = n.sum(0) * (pure * np.log(np.maximum(pure, 1e-9) / share) + (1 - pure) * np.log(np.maximum(1 - pure, 1e-9) / (1 - share)))
-        found.append(np.nonzero((pure >= PURE) & (told >= np.log(max(1, np.count_nonzero(n[1] > 2))) + 3))[0])
+        found.append(often[(pure >= PURE) & (told >= np.log(max(1, len(often))) + 3)])
     if not sum(map(len, found)):
         return np.zeros(len(numbers), bool)
-    rows = [np.concatenate([np.isin(found[0], f), np.isin(found[1], f[c >= 2])]) for (f, c), y in zip(own, toxic, strict=True) if y]
-    has, names = np.stack(rows), np.concatenate(found)
+    has, names = np.zeros((int(toxic.sum()), sum(map(len, found))), bool), np.concatenate(found)
+    for row, w in zip(has, (w for w, y in docs if y), strict=True):
+        f, c = own(w)
+        row[:] = np.concatenate([np.isin(found[0], f), np.isin(found[1], f[c >= 2])])
     covered, chosen = np.zeros(len(has), bool), []
     while True:
         gain = has[~covered].sum(0) + 0.2 * has[covered].sum(0)
@@ -147,19 +167,17 @@ def token_labels(docs: list[tuple[np.ndarray, int]], numbers: np.ndarray) -> np.
     return np.isin(numbers, names[chosen]).any(1)
 
 
-def fit(texts: list[tuple[bytes, int]]) -> Field | None:
+def fit(texts: Iterable[tuple[bytes, int]]) -> Field | None:
     """The field of a labelled sample; None if it has no toxic or no clean text."""
-    docs = _distinct(texts)
+    words, docs = _coded(texts)
     if len({y for _, y in docs}) < 2:
         return None
-    words = list({w: None for d, _ in docs for w in d})
-    place = {w: i for i, w in enumerate(words)}
-    coded = [(np.fromiter(map(place.__getitem__, d), np.int64, len(d)), y) for d, y in docs]
-    bad = token_labels(coded, hashed(words, COVER_DIM))
+    raw = hashes(words)
+    bad = token_labels(docs, numbered(raw, COVER_DIM))
     # Toxic documents first, then clean ones, up to the bound.
     train, total = [], 0
     for y, share in ((1, 0.5), (0, 1.0)):
-        for w, label in coded:
+        for w, label in docs:
             if label == y and total + len(w) <= share * SAMPLE_TOKENS:
                 train.append((w, y))
                 total += len(w)
@@ -169,7 +187,7 @@ def fit(texts: list[tuple[bytes, int]]) -> Field | None:
     lengths = np.array([len(w) for w, _ in train])
     truth = bad[tokens] & np.repeat([y == 1 for _, y in train], lengths)
     used, tokens = np.unique(tokens, return_inverse=True)
-    x = hashed([words[i] for i in used], DIM)
+    x = numbered(raw[used], DIM)
     first = firsts(lengths)
     inner = np.nonzero(~first)[0]
     seen_moves = np.zeros((2, 2))
@@ -190,11 +208,11 @@ def fit(texts: list[tuple[bytes, int]]) -> Field | None:
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         value = value - 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     field = Field(value[:DIM].copy(), float(value[DIM]), value[DIM + 1 : DIM + 3].copy(), value[DIM + 3 :].reshape(2, 2).copy())
-    shown, labels = [], []
+    shown, labels, score = [], [], field.theta[numbered(raw, DIM)].sum(1) + field.bias
     for at in range(0, len(docs), 500):
         part = docs[at : at + 500]
         lengths = np.array([len(w) for w, _ in part])
-        p = field.marginals(field.tokens([w for d, _ in part for w in d]), lengths)
+        p = field.marginals(score[np.concatenate([w for w, _ in part])], lengths)
         shown += [evidence(x) for x in np.split(p, np.cumsum(lengths)[:-1])]
         labels += [y for _, y in part]
     field.beta = logistic(np.array(shown), np.array(labels, float))
@@ -284,15 +302,13 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, key: str = "doc_id", t
     """
     learn = (crc_mod(key, HELD_OUT) != 0) if learn is None else learn
     one = labels.select(F.col(key), F.col(label).cast("int").alias("y")).filter("y is not null").groupBy(key).agg(F.max("y").alias("y"))
-    picked = (
-        docs.select(F.col(key), F.col(text).cast("binary").alias("t"))
-        .filter(learn & F.col("t").isNotNull() & (F.length("t") <= SAMPLE_BYTES))
-        .join(one, key)
-        .select("t", "y", F.crc32(F.concat(F.lit("sample "), F.col(key).cast("string")).cast("binary")).alias("h"))
-        .orderBy("h", "t")
-        .limit(SAMPLE_ROWS)
-    )
-    return fit([(bytes(r[0]), int(r[1] > 0)) for r in picked.collect()])  # SAMPLE_ROWS rows at most
+    h = F.crc32(F.concat(F.lit("sample "), F.col(key).cast("string")).cast("binary"))
+    # Only hashes below a limit can be among the smallest: half as many again as are wanted.
+    limit = int(min(1.0, 1.5 * SAMPLE_ROWS / max(1, one.count())) * 2**32)
+    near = one.filter(h < limit)
+    rows = docs.select(F.col(key), F.col(text).cast("binary").alias("t")).filter(learn & (h < limit) & F.col("t").isNotNull() & (F.length("t") <= SAMPLE_BYTES))
+    picked = rows.join(near, key).select("t", "y", h.alias("h")).orderBy("h", "t").limit(SAMPLE_ROWS)
+    return fit((bytes(r[0]), int(r[1] > 0)) for r in picked.toLocalIterator())  # SAMPLE_ROWS rows at most
 
 
 def score_toxicity(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
