@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..functions.vectors import cosine
 
 #: Queries scored against each batch of the corpus at once; more make more passes.
 BLOCK_QUERIES = 4096
+#: Rows of the corpus scored at once.
+BLOCK_ROWS = 1024
 
 
 def latest_vectors(vectors: DataFrame) -> DataFrame:
@@ -39,29 +42,33 @@ _OUT = pa.schema([("qid", pa.string()), ("id", pa.string()), ("score", pa.float6
 
 def _nearest(qids: list[str], queries: np.ndarray, k: int):
     norms = np.linalg.norm(queries, axis=1)
+    asked = pa.array(qids, pa.string())
     unit = np.divide(queries, norms[:, None], out=np.zeros_like(queries), where=norms[:, None] > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            fits = np.array([v is not None and len(v) == unit.shape[1] for v in vectors], bool)
-            block = np.zeros((len(ids), unit.shape[1]))
-            if fits.any():
-                block[fits] = np.array([v for v, f in zip(vectors, fits, strict=True) if f], np.float64)
-            size = np.linalg.norm(block, axis=1)
-            block = np.divide(block, size[:, None], out=np.zeros_like(block), where=size[:, None] > 0)
-            score = np.nan_to_num(block @ unit.T, nan=-np.inf)
-            order = np.argsort(np.array(ids, object).astype(str), kind="stable")
-            score, names = score[order], np.array(ids, object)[order]
-            top = min(k, len(names))
-            # Scores and then ids: a stable sort of what is at or above the batch's k-th score.
-            for q in range(score.shape[1]):
-                s = score[:, q]
-                least = np.partition(s, len(s) - top)[len(s) - top]
-                near = np.nonzero(s >= least)[0]
-                near = near[np.argsort(-s[near], kind="stable")][:top]
-                near = near[np.isfinite(s[near])]
-                yield pa.record_batch([pa.array([qids[q]] * len(near)), pa.array(names[near], pa.string()), pa.array(s[near])], schema=_OUT)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(at, BLOCK_ROWS)
+                order = pc.sort_indices(batch.column(0))
+                names, vectors = batch.column(0).take(order), batch.column(1).take(order)
+                fits = (pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False) == unit.shape[1]) & (pc.list_value_length(vectors).is_valid().to_numpy(zero_copy_only=False))
+                block = np.zeros((len(names), unit.shape[1]))
+                if fits.any() and unit.shape[1]:
+                    block[fits] = vectors.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, unit.shape[1])
+                size = np.linalg.norm(block, axis=1)
+                block = np.divide(block, size[:, None], out=np.zeros_like(block), where=size[:, None] > 0)
+                score = unit @ block.T
+                score[np.isnan(score)] = -np.inf
+                # Per query what is at or above the block's k-th score, then the best of it; rows are in order of id.
+                top = min(k, len(names))
+                least = np.partition(score, len(names) - top, axis=1)[:, len(names) - top]
+                q, row = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+                s = score[q, row]
+                best = np.lexsort((row, -s, q))
+                q, row, s = q[best], row[best], s[best]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                q, row, s = (x[place < k] for x in (q, row, s))
+                yield pa.record_batch([asked.take(pa.array(q)), names.take(pa.array(row)), pa.array(s)], schema=_OUT)
 
     return run
 
