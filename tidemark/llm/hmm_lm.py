@@ -81,7 +81,8 @@ class Model:
 
     @staticmethod
     def normal(ratio: np.ndarray, type_counts: np.ndarray) -> np.ndarray:
-        return ratio / ((type_counts / max(1, type_counts.sum())) @ ratio)
+        total = type_counts.sum()
+        return ratio / ((type_counts / total) @ ratio) if total else np.ones_like(ratio)
 
     @staticmethod
     def fitted(initial: np.ndarray, moves: np.ndarray, emitted: np.ndarray, type_counts: np.ndarray) -> Model:
