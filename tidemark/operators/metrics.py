@@ -36,3 +36,19 @@ def floor_percentiles(ops: DataFrame, by: str = "op", value: str = "latency_ms",
     hits = ranked.join(target, [by, "bin", "place"]).groupBy(by).pivot("name", [f"p{round(q * 100)}" for q in quantiles]).agg(F.first("v"))
     groups = ops.select(by).distinct().join(hits, by, "left")
     return groups.select(by, *[F.coalesce(f"p{round(q * 100)}", F.lit(0.0)).alias(f"p{round(q * 100)}") for q in quantiles])
+
+
+def gauges(ops: DataFrame) -> DataFrame:
+    """(name, value) of the five gauges over all operations: total, errors and three percentiles."""
+    every = ops.withColumn("op", F.lit("all"))
+    total = every.agg(F.count("*").cast("double").alias("ops_total"), F.count_if("error").cast("double").alias("ops_errors"))
+    p = floor_percentiles(every)
+    wide = total.join(p.drop("op"), how="left")
+    names = ("ops_total", "ops_errors", "p50", "p95", "p99")
+    pairs = F.array(*[F.struct(F.lit(n if n.startswith("ops") else f"latency_ms_{n}").alias("name"), F.coalesce(n, F.lit(0.0)).alias("value")) for n in names])
+    return wide.select(F.explode(pairs).alias("g")).select("g.name", "g.value")
+
+
+def exposition(ops: DataFrame) -> str:
+    """The gauges as text, a line each."""
+    return "".join(f"{r['name']} {r['value']:g}\n" for r in gauges(ops).collect())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +58,32 @@ def accuracy(predicted: DataFrame, label: str = "label") -> DataFrame:
     return predicted.agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy"))
 
 
+def predict_versioned(model: LogisticRegressionModel, requests: DataFrame, log: DataFrame, registry: DataFrame, version: str) -> DataFrame:
+    """Requested keys with status 200 and a prediction, or 404 where no features are kept; an unknown version raises."""
+    get_schema(registry, version)
+    scored = predict(model, feature_lookup(requests, log).select("key", "features"))
+    return scored.withColumn("status", F.when(F.col("features").isNull(), 404).otherwise(200))
+
+
+def mlp_forward(rows: DataFrame, weights: list[tuple[list[list[float]], list[float]]], features: str = "features") -> DataFrame:
+    """``rows`` plus score: dense layers with ReLU between and a sigmoid at the end, a batch at a time."""
+    layers = [(np.asarray(w, float), np.asarray(b, float)) for w, b in weights]
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        h = np.array(x.tolist(), float).reshape(len(x), -1)
+        for i, (w, b) in enumerate(layers):
+            h = h @ w + b
+            if i < len(layers) - 1:
+                h = np.maximum(h, 0)
+        return pd.Series(1 / (1 + np.exp(-h[:, 0])), index=x.index)
+
+    return rows.withColumn("score", score(F.col(features).cast("array<double>")))
+
+
+def save_registry(registry: DataFrame, path: str) -> None:
+    registry.write.mode("overwrite").json(path)
+
+
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA_REGISTRY).json(path)
