@@ -31,8 +31,10 @@ from __future__ import annotations
 
 import os
 import struct
+import threading
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -52,6 +54,7 @@ END = 0
 SEGMENT_TOKENS = 1 << 18
 #: Pieces of text whose ids a worker keeps.
 CACHE = 1_200_000
+IDLE_S = 5
 
 
 class Encoder:
@@ -286,14 +289,24 @@ class Segment:
 
 _FILE = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int32()), ("segment", pa.binary())])
 _FILE_SQL = "part int, seq int, at bigint, n_tokens bigint, n_docs int, segment binary"
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(file: str) -> Encoder:
-    """A worker process keeps its encoder from task to task."""
-    if file not in _ENCODERS:
-        _ENCODERS[file] = Encoder(file)
-    return _ENCODERS[file]
+_IDLE: dict[str, Encoder] = {}
+_TIMERS: dict[str, threading.Timer] = {}
+
+
+@contextmanager
+def borrowed_encoder(file: str) -> Iterator[Encoder]:
+    """A worker process keeps its encoder from task to task, and lets it go when idle for IDLE_S
+    seconds, so that the pieces it holds don't take memory from other operators' tasks."""
+    if timer := _TIMERS.pop(file, None):
+        timer.cancel()
+    enc = _IDLE.pop(file, None) or Encoder(file)
+    try:
+        yield enc
+    finally:
+        _IDLE[file] = enc
+        _TIMERS[file] = timer = threading.Timer(IDLE_S, _IDLE.pop, (file, None))
+        timer.daemon = True
+        timer.start()
 
 
 def tokenizer_file(name: str) -> str:
@@ -304,7 +317,10 @@ def tokenizer_file(name: str) -> str:
 
 def _encode(tokenizer: str, end: int, width: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer_file(tokenizer)), TaskContext.get().partitionId()
+        with borrowed_encoder(tokenizer_file(tokenizer)) as enc:
+            yield from encoded(batches, enc, TaskContext.get().partitionId())
+
+    def encoded(batches: Iterator[pa.RecordBatch], enc: Encoder, part: int) -> Iterator[pa.RecordBatch]:
         seq = at = 0
         ids, docs, starts, n = [], [], [], 0
         tail = np.array([end], np.uint32)

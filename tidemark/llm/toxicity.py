@@ -46,7 +46,7 @@ NOTABLE = 0.1
 PURE = 0.85
 PUNCTUATION = b".,;:!?()[]{}\"'|"
 CACHE = 300_000
-PIECE_TOKENS = 1 << 19
+PIECE_TOKENS = 1 << 17
 
 
 def features(word: bytes) -> list[bytes]:
