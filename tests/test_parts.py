@@ -177,6 +177,28 @@ def test_store(spark):
     assert again.status().first()["alive"]
 
 
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_predicates_and_columns_reach_the_scan(spark):
+    store = Store(spark, files.fresh_folder(spark, "t"))
+    for i in range(3):
+        store.put_batch(kv_rows(spark, [("k1", f"v{i}", i), (f"k{i + 2}", "x", 10 * i)]))
+    got = plan(store.scan_since(10))
+    assert "GreaterThanOrEqual(ts,10)" in got and "vector" not in got.split("ReadSchema")[1].split("\n")[0]
+    assert values(store.scan_since(10)) == {"k3": ("x", 10, False), "k4": ("x", 20, False)}
+    keys = plan(store.log().filter(F.col("ts") >= 10).select("key"))
+    assert "value" not in keys.split("ReadSchema")[1].split("\n")[0]
+    assert "EqualTo(key" in plan(store.log().filter(F.col("key") == F.lit(b"k1")))
+
+
+def test_top_k_is_two_phased(spark):
+    rows = corpus(spark, np.eye(4))
+    assert "TakeOrderedAndProject" in plan(vector.knn(rows, [1.0, 0, 0, 0], 2))
+    assert "WindowGroupLimit" in plan(vector.knn_batch(rows, [("q", [1.0, 0, 0, 0])], 2))
+
+
 def test_store_search_survives_compaction(spark):
     store = Store(spark, files.fresh_folder(spark, "v"))
     put = lambda rows: store.put_batch(spark.createDataFrame(rows, "key string, value string, ts long, vector array<float>"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lww import latest
+from .scan import sync_rows
 
 
 def write_outcome(acks: DataFrame, by: list[str], w: int) -> DataFrame:
@@ -91,4 +92,4 @@ def sync_diff(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 def anti_entropy(local: DataFrame, remote: DataFrame, since: int = 0) -> DataFrame:
     """The local log after taking a peer's current versions since a time."""
-    return latest(local.unionByName(latest(remote).filter(F.col("ts") >= since).select(*local.columns)))
+    return latest(local.unionByName(sync_rows(remote, since).select(*local.columns)))

@@ -33,8 +33,11 @@ def run_stats(log: DataFrame, layer: str = "layer") -> DataFrame:
 
 
 def sync_rows(log: DataFrame, since: int = 0) -> DataFrame:
-    """What a replica sends to a peer: current versions since a time, tombstones included."""
-    return scan_since(latest(log), since)
+    """What a replica sends to a peer: current versions since a time, tombstones included.
+
+    The winner has the largest time, so older rows can go before the fold, at the scan.
+    """
+    return latest(scan_since(log, since))
 
 
 def valid_prefix(log: DataFrame, valid: str = "valid", order: str = "seq") -> DataFrame:

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import lww, vector
+from ..operators import lww, scan, vector
 from ..schema import RECORD
 from . import files
 
@@ -24,6 +24,8 @@ from . import files
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#key": "true", "parquet.enable.dictionary#key": "false", "compression": "zstd"}
 #: Sequence numbers of one batch; each batch starts at a multiple.
 SEQ_STEP = 1 << 40
+#: Runs of a manifest whose table is broadcast; more, and it is joined as any table.
+MOST_RUNS = 100_000
 
 
 class Store:
@@ -90,18 +92,15 @@ class Store:
 
     def log(self) -> DataFrame:
         """All rows of all runs, with ``layer``, the run's place, and a seq that grows across runs."""
-        out = self.spark.createDataFrame([], RECORD).withColumn("layer", F.lit(0))
         runs = self.manifest()["runs"]
         if not runs:
-            return out
-        parts = [
-            self.spark.read.schema(RECORD).parquet(self._run(r["id"])).withColumn("seq", F.col("seq") + F.lit(r["batch"] * SEQ_STEP)).withColumn("layer", F.lit(i))
-            for i, r in enumerate(runs)
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+            return self.spark.createDataFrame([], RECORD).withColumn("layer", F.lit(0))
+        # One scan of all runs; the manifest, a row per run, tells each file's place.
+        places = self.spark.createDataFrame([(r["id"], i, r["batch"] * SEQ_STEP) for i, r in enumerate(runs)], "run string, layer int, base long")
+        rows = self.spark.read.schema(RECORD).parquet(*[self._run(r["id"]) for r in runs])
+        rows = rows.withColumn("run", F.regexp_extract("_metadata.file_path", "/runs/([0-9a-f]{32})/", 1))
+        rows = rows.join(F.broadcast(places) if len(runs) <= MOST_RUNS else places, "run")
+        return rows.select("key", "value", "ts", "tombstone", (F.col("seq") + F.col("base")).alias("seq"), "vector", "layer")
 
     def view(self) -> DataFrame:
         """The current version of each key, tombstones included."""
@@ -112,7 +111,7 @@ class Store:
 
     def scan_since(self, ts: int) -> DataFrame:
         """Current versions since a time, tombstones included."""
-        return self.view().filter(F.col("ts") >= ts)
+        return scan.sync_rows(self.log().drop("vector", "layer"), ts)
 
     def search(self, query: list[float], k: int, live_only: bool = True) -> DataFrame:
         """The k nearest vectors: the last arrival of each key's vector, without deleted keys if ``live_only``."""
