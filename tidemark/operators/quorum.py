@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .lww import latest
 from .scan import sync_rows
+from .sizes import small
 
 
 def write_outcome(acks: DataFrame, by: list[str], w: int) -> DataFrame:
@@ -56,7 +57,7 @@ def replay_hints(hints: DataFrame, up: DataFrame, store: DataFrame) -> DataFrame
 
     ``store`` has node and the log columns; replay is idempotent.
     """
-    due = hints.join(F.broadcast(up.select(F.col("node").alias("target")).distinct()), "target", "left_semi")
+    due = hints.join(small(up.select(F.col("node").alias("target")).distinct()), "target", "left_semi")
     rows = store.unionByName(due.withColumnRenamed("target", "node").select(*store.columns))
     return latest(rows.withColumn("__k", F.struct("node", "key")), "__k").drop("__k")
 
