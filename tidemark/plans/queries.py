@@ -11,7 +11,7 @@ from ..operators import bloom, cuts, lww, metrics, ml, quorum, ring, scan, vecto
 from ..schema import LOG, RECORD
 from ..sources import files, wal
 from ..sources.store import Store
-from ..streaming import ingest
+from ..streaming import detector, ingest
 from .fixtures import ANSWERS_SQL, KV_SQL, answers, kv, nanos, table, vectors
 
 QUERIES: dict = {}
@@ -579,3 +579,18 @@ def cosine_neighbours(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     after = rows.select((F.col("seq") - 1).alias("seq"), F.col("id").alias("b"), F.col("vector").alias("other"))
     return rows.join(after, "seq").select(F.col("id").alias("a"), "b", F.round(cosine(F.col("vector"), F.col("other")), 6).alias("score"))
+
+
+@query(ORACLES["failure_detector"])
+def stream_failure_detector(spark, sf_dir):
+    """Heartbeats come in three files, one to a micro-batch; state is kept between them."""
+    e = table(spark, sf_dir, "events")
+    beats = e.select(F.col("user_id").alias("node"), F.col("event_id").alias("tick"), F.col("event_type").isin("signup", "purchase").alias("ok"))
+    source, out, state = (files.fresh_folder(spark, x) for x in ("beats", "states", "state"))
+    third = beats.agg(F.floor(F.max("tick") / 3 + 1)).first()[0] or 1
+    for i in range(3):  # files are read in the order in which they were written
+        beats.filter(F.floor(F.col("tick") / third) == i).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(beats.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    found = detector.detect(stream)
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(detector.OUT).parquet(out)
