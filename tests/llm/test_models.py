@@ -68,7 +68,7 @@ def test_blocks_link_exactly():
             v = (v if t == 0 else v @ trans) * e[at + t]
             log += math.log(v.sum())
             v = v / v.sum()
-        assert np.log(scale.reshape(-1)[at : at + n]).sum() == pytest.approx(log)
+        assert np.log(chain.tokens(scale)[at : at + n]).sum() == pytest.approx(log)
         at += n
 
 

@@ -32,8 +32,14 @@ class Chain:
         self.starts = [np.nonzero(self.first[:, t])[0] for t in range(STEPS)]
 
     def fold(self, e: np.ndarray) -> np.ndarray:
+        """Weights (n, K) by step and block: (STEPS, blocks, K)."""
         pad = self.blocks * STEPS - self.n
-        return np.concatenate([e, np.ones((pad, e.shape[1]))]).reshape(self.blocks, STEPS, -1)
+        whole = np.concatenate([e, np.ones((pad, e.shape[1]))]).reshape(self.blocks, STEPS, -1)
+        return np.ascontiguousarray(whole.transpose(1, 0, 2))
+
+    def tokens(self, x: np.ndarray) -> np.ndarray:
+        """The other way: (STEPS, blocks, ...) to (n, ...)."""
+        return np.ascontiguousarray(np.moveaxis(x, 0, 1)).reshape(-1, *x.shape[2:])[: self.n]
 
 
 def _step(v: np.ndarray, trans: np.ndarray, initial: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -45,7 +51,7 @@ def _step(v: np.ndarray, trans: np.ndarray, initial: np.ndarray, starts: np.ndar
 
 
 def forward(chain: Chain, e: np.ndarray, initial: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward vectors (blocks, STEPS, K), scales (blocks, STEPS), block matrices.
+    """Scaled forward vectors (STEPS, blocks, K), scales (STEPS, blocks), block matrices.
 
     ``e`` are the folded emission weights. The product of the scales from a
     document's first to its last token is its likelihood.
@@ -53,7 +59,8 @@ def forward(chain: Chain, e: np.ndarray, initial: np.ndarray, trans: np.ndarray)
     k = len(initial)
     m = np.broadcast_to(np.eye(k), (chain.blocks, k, k)).copy()
     for t in range(STEPS):
-        m = _step(m, trans, initial, chain.starts[t]) * e[:, t, None, :]
+        m = _step(m, trans, initial, chain.starts[t])
+        m *= e[t, :, None, :]
         if t % 8 == 7:
             m /= m.sum((1, 2), keepdims=True)
     enter = np.empty((chain.blocks, k))
@@ -62,13 +69,14 @@ def forward(chain: Chain, e: np.ndarray, initial: np.ndarray, trans: np.ndarray)
         enter[b] = v
         v = v @ m[b]
         v = v / v.sum()
-    alpha, scale = np.empty((chain.blocks, STEPS, k)), np.empty((chain.blocks, STEPS))
-    v = enter
+    alpha, scale = np.empty((STEPS, chain.blocks, k)), np.empty((STEPS, chain.blocks))
+    v, one = enter, np.ones(k)
     for t in range(STEPS):
-        v = _step(v, trans, initial, chain.starts[t]) * e[:, t]
-        s = v.sum(1)
-        v = v / s[:, None]
-        alpha[:, t], scale[:, t] = v, s
+        v = _step(v, trans, initial, chain.starts[t])
+        v *= e[t]
+        s = v @ one
+        v /= s[:, None]
+        alpha[t], scale[t] = v, s
     return alpha, scale, m
 
 
@@ -84,21 +92,21 @@ def marginals(chain: Chain, e: np.ndarray, initial: np.ndarray, trans: np.ndarra
         v = m[b] @ v
         v = v / v.sum()
     beta = np.empty_like(alpha)
-    v = leave
+    v, one = leave, np.ones(k)
+    back = np.ascontiguousarray(trans.T)
     for t in range(STEPS - 1, -1, -1):
-        beta[:, t] = v
-        w = v * f[:, t]
-        v = w @ trans.T
+        beta[t] = v
+        w = v * f[t]
+        v = w @ back
         if len(at := chain.starts[t]):
             v[at] = (w[at] @ initial)[:, None]
-        v = v / v.sum(1, keepdims=True)
-    gamma = alpha * beta
-    gamma /= gamma.sum(2, keepdims=True)
-    n = chain.n
-    gamma, a = gamma.reshape(-1, k)[:n], alpha.reshape(-1, k)
-    inner = np.nonzero(~chain.first.reshape(-1)[:n])[0]
-    # xi(t) = alpha(t-1) x trans x (e beta)(t), made to sum to one
-    after = (f * beta).reshape(-1, k)[inner]
-    total = ((a[inner - 1] @ trans) * after).sum(1, keepdims=True)
-    moves = (a[inner - 1].T @ (after / total)) * trans
-    return gamma, moves, scale.reshape(-1)[:n]
+        v /= (v @ one)[:, None]
+    f *= beta
+    beta *= alpha
+    gamma, a, after = chain.tokens(beta), chain.tokens(alpha)[:-1], chain.tokens(f)[1:]
+    gamma /= (gamma @ one)[:, None]
+    # xi(t) = alpha(t-1) x trans x (e beta)(t), made to sum to one; none into a first token
+    total = ((a @ trans) * after) @ one
+    share = np.where(chain.first.reshape(-1)[1 : chain.n], 0, 1 / np.where(total > 0, total, 1))
+    moves = (a.T @ (after * share[:, None])) * trans
+    return gamma, moves, chain.tokens(scale)

@@ -54,10 +54,6 @@ PRIOR = 0.5
 PIECE_TOKENS = 1 << 18
 
 
-def word_class(word: bytes) -> int:
-    return 1 + zlib.crc32(word[:1] + b"\0" + word[-2:]) % CLASSES
-
-
 def expected(chain: Chain, types: np.ndarray, e: np.ndarray, initial: np.ndarray, trans: np.ndarray, n_types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts: (initial K, transitions K x K, emissions types x K) and the log likelihood of the weights."""
     gamma, moves, scale = marginals(chain, e, initial, trans)
@@ -240,7 +236,7 @@ def _score(model: Model, n: int, v: int, unseen: float):
                     chain = Chain(firsts(lengths[docs]))
                     _, scale, _ = forward(chain, chain.fold(weight[tokens]), model.initial, model.trans)
                     at = np.cumsum(lengths[docs]) - lengths[docs]
-                    ratio = np.log10(scale.reshape(-1)[: chain.n])
+                    ratio = np.log10(chain.tokens(scale))
                     out.append([np.add.reduceat(x, at) for x in (known[tokens].astype(np.int64), base[tokens], own[tokens] + ratio)])
                 parts = [np.concatenate(x) for x in zip(*out, strict=True)]
                 yield pa.record_batch([pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(lengths), *map(pa.array, parts)], schema=_SCORES)
@@ -284,7 +280,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     vocabulary = lexicon.filter("first")
     n, v, once = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
     unseen = (once + 1) / (n + 1)
-    top = scratch.save(_frequent(vocabulary.filter((F.col("word") != b"") & (F.col("c") > 1))))
+    top = scratch.save(_frequent(vocabulary.filter((F.col("word") != b"") & (F.col("c") > 1))), TOP_WORDS)
     shared = F.crc32(F.concat(F.substring("word", 1, 1), F.lit(b"\0"), F.expr("substring(word, greatest(length(word) - 1, 1), 2)"))) % CLASSES + 1
     kind = F.when(F.col("c") == 0, -1).when(F.col("word") == b"", END_TYPE).otherwise(F.coalesce(F.col("own").cast("long"), shared)).cast("int")
     typed = lexicon.join(F.broadcast(top), "word", "left").select("chunk", "place", "c", "first", kind.alias("type"))
