@@ -86,7 +86,7 @@ def identities(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
     info = first.filter("pos = 0").select("rep", "members", "sha")
     done, level = [first.filter("n = 1").select("rep", F.lit(0).alias("level"), "name")], 0
     now = first.filter("n > 1").select("rep", "pos", "n", "name")
-    longest = first.agg(F.max("n")).first()[0] or 1
+    longest, rows = first.agg(F.coalesce(F.max("n"), F.lit(1)), F.count("*")).first()
     while longest > 1:
         level, longest = level + 1, -(-longest // 2)
         half = F.col("pos").bitwiseAND(F.lit(1))
@@ -94,9 +94,9 @@ def identities(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
             F.max(F.when(half == 0, F.col("name"))).alias("left"),
             F.coalesce(F.max(F.when(half == 1, F.col("name"))), F.lit(-1)).alias("right"),
         )
-        pairs = scratch.save(pairs)
+        pairs = scratch.save(pairs, rows)
         known = _named(pairs.select("left", "right").distinct(), ["left", "right"], buckets)
-        step = scratch.save(pairs.join(known, ["left", "right"]).select("rep", "pos", "n", "name"))
+        step = scratch.save(pairs.join(known, ["left", "right"]).select("rep", "pos", "n", "name"), rows)
         scratch.drop(pairs)
         done.append(step.filter("n = 1").select("rep", F.lit(level).alias("level"), "name"))
         now = step.filter("n > 1")

@@ -22,6 +22,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Upper bound on the text that one Arrow batch hands to a Python worker.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2000
+#: Scratch tables are read only once their job is done: no marker file tells so.
+NO_MARK = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+#: Rows of a file of a small written table.
+ROWS_PER_FILE = 250_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
@@ -95,9 +99,12 @@ class Scratch:
         self.n += 1
         return f"{self.top}/{self.n}"
 
-    def save(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None, codec: str = "zstd") -> DataFrame:
+        """``rows``, an upper bound where one is known, keeps small tables from being many tiny files."""
         path = self.path()
-        df.write.option("compression", codec).parquet(path)
+        if rows is not None and (n := max(1, -(-rows // ROWS_PER_FILE))) < partitions(self.spark):
+            df = df.repartition(n)
+        df.write.options(**{"compression": codec, **NO_MARK}).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._tidemark_path = path

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, table
+from .common import WORD, Scratch, partitions, table
 
 #: Weights of the sources in code point order, repeating; the share
 #: of all words that the mix takes; the most copies of one document.
@@ -77,7 +77,8 @@ def mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE
     not by rank, which adds no words. An empty table gives no rows.
     """
     slim = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    sizes = scratch.save(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
+    by_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    sizes = scratch.save(by_source.coalesce(-(-partitions(slim.sparkSession) // 32)))
     n_sources, n_rows = sizes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
     small = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda df: df)
     buckets = max(256, n_rows // ROWS_PER_BUCKET)
@@ -87,7 +88,8 @@ def mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE
         .withColumn("base", F.floor(parts))
         .withColumn("odds", F.try_divide(parts - F.col("base"), F.lit(1.0) - (parts - F.col("base"))))
         .withColumn("left", F.col("target") - (F.col("base") * F.col("source_size")).cast("double"))
-        .select(F.col("source").alias("of"), "source_size", "target", "base", "odds", "left")
+        .select(F.col("source").alias("of"), "source_size", "target", "base", "odds", "left"),
+        n_sources,
     )
     u = random_number(F.col("doc_id"), seed)
     ranked = (
@@ -104,7 +106,7 @@ def mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE
         .agg(F.min(F.struct("bucket", (F.col("after") - F.col("words")).alias("before"))).alias("cut"))
         .select(F.col("source").alias("cut_of"), F.col("cut.bucket").alias("cut"), F.col("cut.before").alias("before"))
     )
-    cut = scratch.save(cut)
+    cut = scratch.save(cut, n_sources)
     placed = ranked.join(small(cut), F.col("source").eqNullSafe(F.col("cut_of")), "left")
     out = ["doc_id", "source", "size", "source_size", "target"]
     # Without a cut every document of the source fits into what is left.

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, ship, table
+from .common import NO_MARK, Scratch, partitions, ship, table
 
 MAGIC = b"TIDEDAC1"
 WIDTH = 8
@@ -357,7 +357,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("hash"))
     order = [F.col("key").asc_nulls_first(), F.col("hash")]
     dealt = slim.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("key", "text")
-    dealt.mapInArrow(_encode(tokenizer, end, width, limit), _FILE_SQL).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(_encode(tokenizer, end, width, limit), _FILE_SQL).write.options(**{"compression": "zstd", **NO_MARK}).parquet(path)
 
 
 _ROWS = pa.schema([("id", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
