@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, ship, table
+from .common import Scratch, partitions, ship, table, tidy
 
 BLOCK = 4096
 #: Name buckets for each shuffle partition: more make smaller sorts.
@@ -58,7 +58,7 @@ def _cut(size: int):
                 rep += 1
             yield pa.record_batch([pa.array(found, pa.binary()), pa.array(found.values(), _OCC)], schema=_BLOCKS)
 
-    return run
+    return tidy(run)
 
 
 def _named(df: DataFrame, by: list[str], buckets: int) -> DataFrame:

@@ -8,12 +8,16 @@ the word pattern every text operator uses.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +75,25 @@ def ship(spark: SparkSession) -> None:
     sc._tidemark_shipped = True
 
 
+def tidy(run):
+    """A function of Arrow batches that gives back the memory it freed when its task ends.
+
+    Worker processes outlive their tasks; without this the next operator's
+    tasks would run beside what allocators still hold for the last one's.
+    """
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or in its absence
     (tests on one machine) a temporary folder that is then set as such."""

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chains import Chain, firsts, forward, marginals
-from .common import Scratch, crc_mod, ship, table
+from .common import Scratch, crc_mod, ship, table, tidy
 
 HELD_OUT = 10
 STATES = 4
@@ -191,7 +191,7 @@ def _expectation(model: Model, n_types: int):
             values = np.concatenate([start[None], moves, emitted[used]])
             yield pa.record_batch([pa.array(kinds), pa.array(rows), pa.array(list(values), pa.list_(pa.float64()))], schema=_COUNTS)
 
-    return run
+    return tidy(run)
 
 
 _SAMPLE = pa.schema([("key", pa.int64()), ("types", pa.binary())])
@@ -214,7 +214,7 @@ def _sample(limit: int):
                 if keys:
                     yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], schema=_SAMPLE)
 
-    return run
+    return tidy(run)
 
 
 _SCORES = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -241,7 +241,7 @@ def _score(model: Model, n: int, v: int, unseen: float):
                 parts = [np.concatenate(x) for x in zip(*out, strict=True)]
                 yield pa.record_batch([pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(lengths), *map(pa.array, parts)], schema=_SCORES)
 
-    return run
+    return tidy(run)
 
 
 def _frequent(vocabulary: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     spark = docs.sparkSession
     ship(spark)
     held_out = crc_mod(key, HELD_OUT) == 0 if held_out is None else held_out
-    chunks = scratch.save(docs.select(F.col(key).cast("long"), held_out, F.col(text).cast("binary")).mapInArrow(_code, _CHUNK_SQL))
+    chunks = scratch.save(docs.select(F.col(key).cast("long"), held_out, F.col(text).cast("binary")).mapInArrow(tidy(_code), _CHUNK_SQL))
     words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "seen")).alias("place", "w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.seen").alias("seen"))
     # A row per word and chunk, with the word's count over all training rows; the first row of a word stands for it.
     of = Window.partitionBy("word")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, table
+from .common import Scratch, ship, table, tidy
 
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
@@ -79,7 +79,7 @@ def _count(target: frozenset):
                         total[0] += n
         yield pa.record_batch([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], schema=_COUNTS)
 
-    return run
+    return tidy(run)
 
 
 _WEIGHTS = pa.schema([("id", pa.int64()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
@@ -91,7 +91,7 @@ def _weigh(ratio: np.ndarray):
             buckets = [grams(words) if len(words) else np.zeros(0, np.int64) for words in docs]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(b) for b in buckets], pa.int64()), pa.array([float(ratio[b].sum()) for b in buckets])], schema=_WEIGHTS)
 
-    return run
+    return tidy(run)
 
 
 def gumbel(key: Column, seed: str = SEED) -> Column:

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_MARK, Scratch, partitions, ship, table
+from .common import NO_MARK, Scratch, partitions, ship, table, tidy
 
 MAGIC = b"TIDEDAC1"
 WIDTH = 8
@@ -53,7 +53,7 @@ END = 0
 #: A segment closes at the first document end after so many tokens.
 SEGMENT_TOKENS = 1 << 18
 #: Pieces of text whose ids a worker keeps.
-CACHE = 1_200_000
+CACHE = 400_000
 IDLE_S = 5
 
 
@@ -88,7 +88,7 @@ class Encoder:
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.most = most
         self.index: dict[str, int] = {}
-        self.flat, self.start, self.n, self.hits, self.used = np.zeros(1 << 16, np.uint32), *(np.zeros(1 << 14, np.int64) for _ in range(3)), 0
+        self.flat, self.start, self.n, self.hits, self.used = np.zeros(1 << 16, np.uint32), *(np.zeros(1 << 14, np.int32) for _ in range(3)), 0
 
     def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The pieces of even texts one after another, and how many each text has.
@@ -109,7 +109,7 @@ class Encoder:
         names = list(self.index)
         keep = np.sort(np.argsort(-self.hits[: len(names)], kind="stable")[: self.most // 2])
         n, before = self.n[keep], self.start[keep]
-        start = np.cumsum(n) - n
+        start = np.cumsum(n, dtype=np.int64) - n
         flat = self.flat[np.repeat(before - start, n) + np.arange(int(n.sum()))]
         self.index = dict(zip((names[i] for i in keep.tolist()), range(len(keep)), strict=True))
         self.used = len(flat)
@@ -163,7 +163,7 @@ class Encoder:
         coded = pieces.dictionary_encode()
         k = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         self.hits[: len(self.index)] += np.bincount(k, minlength=len(self.index))
-        n, ends = self.n[k], np.cumsum(sizes)
+        n, ends = self.n[k].astype(np.int64), np.cumsum(sizes)
         for last in range(1, ending + 1):
             n[ends - last] = 0
         upto = np.cumsum(n)
@@ -342,7 +342,7 @@ def _encode(tokenizer: str, end: int, width: int, limit: int):
         if docs:
             yield closed()
 
-    return run
+    return tidy(run)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end: int = END, key: str = "doc_id", text: str = "text", width: int = WIDTH, limit: int = SEGMENT_TOKENS) -> None:
@@ -384,7 +384,7 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
         bases.append((part, total))
         total += n
     base = F.broadcast(spark.createDataFrame(bases, "part int, base bigint"))
-    rows = files.select("part", "at", "segment").mapInArrow(_decode, _ROWS_SQL)
+    rows = files.select("part", "at", "segment").mapInArrow(tidy(_decode), _ROWS_SQL)
     return rows.join(base, "part").select(F.col("id").alias(key), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
