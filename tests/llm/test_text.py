@@ -270,7 +270,7 @@ def test_edited_passages_are_found_and_clean_texts_left_alone(spark):
     assert not {i for i, _ in found} - {i for i, _ in planted}
     for r in got:
         assert r["distance"] <= decontaminate.allowed(r["item_words"]) and r["similarity"] >= 0.8
-    kept = decontaminate.decontaminate(docs(spark, rows), benchmark, Scratch(spark, "t"))
+    kept = decontaminate.decontaminate(docs(spark, rows), benchmark)
     assert kept.columns == docs(spark, []).columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in found}
 

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, table
+from .common import ship, table, tidy
 
 SIMILARITY = 0.8
 RECALL = 0.95
@@ -306,7 +306,19 @@ def _search(index: Index):
             rid += len(ids)
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_HITS), _HITS, strict=True)], schema=_HITS)
 
-    return run
+    return tidy(run)
+
+
+def blocks(benchmark: DataFrame, item: str = "item_id") -> Iterator[list[tuple[int | None, bytes | None]]]:
+    """The benchmark's items, so many at a time as one pass searches for; a partition of it at a time is fetched."""
+    block: list = []
+    for row in benchmark.select(F.col(f"`{item}`").cast("long"), F.col("text").cast("binary")).orderBy(item, "text").toLocalIterator():
+        block.append((row[0], None if row[1] is None else bytes(row[1])))
+        if len(block) == BLOCK_ITEMS:
+            yield block
+            block = []
+    if block:
+        yield block
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -320,32 +332,38 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     spark = docs.sparkSession
     ship(spark)
     slim = docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("binary"))
-    out = spark.createDataFrame([], _HITS_SQL)
-    block: list = []
-    parts: list[DataFrame] = []
-    # toLocalIterator keeps one partition of the benchmark at a time, a block of it is searched in one pass.
-    for row in benchmark.select(F.col(f"`{item}`").cast("long"), F.col("text").cast("binary")).orderBy(item, "text").toLocalIterator():
-        block.append((row[0], None if row[1] is None else bytes(row[1])))
-        if len(block) == BLOCK_ITEMS:
-            parts.append(slim.mapInArrow(_search(Index(block, similarity, recall)), _HITS_SQL))
-            block = []
-    if block:
-        parts.append(slim.mapInArrow(_search(Index(block, similarity, recall)), _HITS_SQL))
-    for part in parts:
-        out = part if out is None or len(parts) == 1 else out.unionByName(part)
+    parts = [slim.mapInArrow(_search(Index(block, similarity, recall)), _HITS_SQL) for block in blocks(benchmark, item)]
+    out = parts[0] if parts else spark.createDataFrame([], _HITS_SQL)
+    for part in parts[1:]:
+        out = out.unionByName(part)
     shown = F.round(1 - F.col("distance") / F.col("item_words"), 6).alias("similarity")
     return out.select("rid", F.col("id").alias(key), "item_id", "item_words", "distance", shown, "first_word", "end_word")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, **how) -> DataFrame:
-    """``docs`` without the rows that hold an item of the benchmark; columns stay.
+def _clean(index: Index, text: int):
+    """Batches without the rows whose text holds an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).cast(pa.binary()).to_pylist()
+            place = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+            found = index.matches(list(place))
+            yield batch.filter(pa.array([not found[place[t]] for t in texts], pa.bool_()))
+
+    return tidy(run)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """``docs`` without the rows whose text holds an item of the benchmark; columns stay.
 
-    Rows go by key: every row of a contaminated document's key goes. Rows with
-    a null key are judged by their texts alone.
+    Rows go as they pass, so that nothing is joined; each row is judged by its
+    own text, whatever its id. Edge cases are those of :func:`contaminations`.
     """
-    key = how.get("key", "doc_id")
-    hits = scratch.save(contaminations(docs, benchmark, **how).select(F.col(key).alias("__id")).distinct())
-    return docs.join(hits, docs[key] == hits["__id"], "left_anti")
+    ship(docs.sparkSession)
+    out, at = docs, docs.columns.index(text)
+    for block in blocks(benchmark, item):
+        out = out.mapInArrow(_clean(Index(block, similarity, recall), at), docs.schema)
+    return out
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

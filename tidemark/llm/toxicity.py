@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chains import Chain, firsts, marginals
-from .common import ASCII_LOWER, WORD, crc_mod, ship, table
+from .common import ASCII_LOWER, WORD, crc_mod, ship, table, tidy
 
 HELD_OUT = 5
 #: The sample that the field is fitted on: rows, bytes of a text, tokens of the gradient.
@@ -259,38 +259,54 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", p
 _SPANS_SQL = "array<struct<start:int,end:int,p:double>>"
 
 
+def judge(field: Field | None, texts: list[bytes | None], with_spans: bool = True) -> tuple[list[float], list[list[dict]]]:
+    """Scores and spans of a batch of texts."""
+    nothing = document_score(field, np.zeros(0)) if field else 0.0
+    score, found = [nothing] * len(texts), [[] for _ in texts]
+
+    def flush(rows: list[int], words: list[list[bytes]]) -> None:
+        lengths = np.array([len(w) for w in words])
+        p = field.marginals(field.tokens([w for d in words for w in d]), lengths)
+        for i, part in zip(rows, np.split(p, np.cumsum(lengths)[:-1]), strict=True):
+            score[i] = document_score(field, part)
+            if with_spans and (part >= 0.5).any():
+                found[i] = spans(texts[i].decode("utf-8", "replace"), part)
+
+    rows, words, n = [], [], 0
+    for i, text in enumerate(texts if field else []):
+        if w := (text or b"").lower().split():
+            rows.append(i)
+            words.append(w)
+            n += len(w)
+            if n >= PIECE_TOKENS:
+                flush(rows, words)
+                rows, words, n = [], [], 0
+    if rows:
+        flush(rows, words)
+    return score, found
+
+
 def _score(field: Field | None):
     """Batches whose last column is the text: that column goes, score and spans come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            nothing = document_score(field, np.zeros(0)) if field else 0.0
-            score, found = [nothing] * len(texts), [[] for _ in texts]
-
-            def flush(rows: list[int], words: list[list[bytes]]) -> None:
-                lengths = np.array([len(w) for w in words])
-                p = field.marginals(field.tokens([w for d in words for w in d]), lengths)  # noqa: B023
-                for i, part in zip(rows, np.split(p, np.cumsum(lengths)[:-1]), strict=True):
-                    score[i] = document_score(field, part)  # noqa: B023
-                    if (part >= 0.5).any():
-                        found[i] = spans(texts[i].decode("utf-8", "replace"), part)  # noqa: B023
-
-            rows, words, n = [], [], 0
-            for i, text in enumerate(texts if field else []):
-                if w := (text or b"").lower().split():
-                    rows.append(i)
-                    words.append(w)
-                    n += len(w)
-                    if n >= PIECE_TOKENS:
-                        flush(rows, words)
-                        rows, words, n = [], [], 0
-            if rows:
-                flush(rows, words)
+            score, found = judge(field, batch.column(batch.num_columns - 1).to_pylist())
             columns = [*batch.columns[:-1], pa.array(score, pa.float64()), pa.array(found, _SPANS)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "score", "spans"])
 
-    return run
+    return tidy(run)
+
+
+def _clean(field: Field | None, text: int):
+    """Batches without the rows whose text scores 0.5 or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score, _ = judge(field, batch.column(text).cast(pa.binary()).to_pylist(), False)
+            yield batch.filter(pa.array([s < 0.5 for s in score], pa.bool_()))
+
+    return tidy(run)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn=None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Field | None:
@@ -326,6 +342,12 @@ def score_toxicity(docs: DataFrame, field: Field | None, text: str = "text") ->
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def keep_clean(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that :func:`score_toxicity` predicts toxic; columns stay."""
+    ship(docs.sparkSession)
+    return docs.mapInArrow(_clean(field, docs.columns.index(text)), docs.schema)
+
+
 def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     field = train(docs, labels)
