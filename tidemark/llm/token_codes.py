@@ -52,8 +52,8 @@ RANK_STEP = 512
 END = 0
 #: A segment closes at the first document end after so many tokens.
 SEGMENT_TOKENS = 1 << 18
-#: Pieces of text whose ids a worker keeps.
-CACHE = 400_000
+#: Pieces of text whose ids a worker keeps: about 0.2 kB each, beside other stages or alone.
+CACHE, LARGE_CACHE = 400_000, 1_200_000
 IDLE_S = 5
 
 
@@ -289,22 +289,23 @@ class Segment:
 
 _FILE = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int32()), ("segment", pa.binary())])
 _FILE_SQL = "part int, seq int, at bigint, n_tokens bigint, n_docs int, segment binary"
-_IDLE: dict[str, Encoder] = {}
-_TIMERS: dict[str, threading.Timer] = {}
+_IDLE: dict[tuple[str, int], Encoder] = {}
+_TIMERS: dict[tuple[str, int], threading.Timer] = {}
 
 
 @contextmanager
-def borrowed_encoder(file: str) -> Iterator[Encoder]:
+def borrowed_encoder(file: str, cache: int) -> Iterator[Encoder]:
     """A worker process keeps its encoder from task to task, and lets it go when idle for IDLE_S
     seconds, so that the pieces it holds don't take memory from other operators' tasks."""
-    if timer := _TIMERS.pop(file, None):
+    key = file, cache
+    if timer := _TIMERS.pop(key, None):
         timer.cancel()
-    enc = _IDLE.pop(file, None) or Encoder(file)
+    enc = _IDLE.pop(key, None) or Encoder(file, cache)
     try:
         yield enc
     finally:
-        _IDLE[file] = enc
-        _TIMERS[file] = timer = threading.Timer(IDLE_S, _IDLE.pop, (file, None))
+        _IDLE[key] = enc
+        _TIMERS[key] = timer = threading.Timer(IDLE_S, _IDLE.pop, (key, None))
         timer.daemon = True
         timer.start()
 
@@ -315,9 +316,9 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _encode(tokenizer: str, end: int, width: int, limit: int):
+def _encode(tokenizer: str, end: int, width: int, limit: int, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with borrowed_encoder(tokenizer_file(tokenizer)) as enc:
+        with borrowed_encoder(tokenizer_file(tokenizer), cache) as enc:
             yield from encoded(batches, enc, TaskContext.get().partitionId())
 
     def encoded(batches: Iterator[pa.RecordBatch], enc: Encoder, part: int) -> Iterator[pa.RecordBatch]:
@@ -345,19 +346,20 @@ def _encode(tokenizer: str, end: int, width: int, limit: int):
     return tidy(run)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end: int = END, key: str = "doc_id", text: str = "text", width: int = WIDTH, limit: int = SEGMENT_TOKENS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end: int = END, key: str = "doc_id", text: str = "text", width: int = WIDTH, limit: int = SEGMENT_TOKENS, cache: int = CACHE) -> None:
     """Writes the ids of all texts, each followed by ``end``, in ascending key order.
 
     Null text is empty (its ids are the end alone); null keys come first; rows
     that repeat a key are ordered by a hash of the text. An empty table writes
-    no segment. ``tokenizer`` names a file of the public tokenizers.
+    no segment. ``tokenizer`` names a file of the public tokenizers;
+    a larger ``cache`` of pieces spends a worker's memory to save its time.
     """
     spark = docs.sparkSession
     ship(spark)
     slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("hash"))
     order = [F.col("key").asc_nulls_first(), F.col("hash")]
     dealt = slim.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("key", "text")
-    dealt.mapInArrow(_encode(tokenizer, end, width, limit), _FILE_SQL).write.options(**{"compression": "zstd", **NO_MARK}).parquet(path)
+    dealt.mapInArrow(_encode(tokenizer, end, width, limit, cache), _FILE_SQL).write.options(**{"compression": "zstd", **NO_MARK}).parquet(path)
 
 
 _ROWS = pa.schema([("id", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -388,12 +390,12 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
     return rows.join(base, "part").select(F.col("id").alias(key), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encode_and_read(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def encode_and_read(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     """Writes the token files of ``docs`` to the scratch folder and reads them back."""
     path = scratch.path()
-    write_tokens(docs, path)
+    write_tokens(docs, path, **how)
     return read_tokens(docs.sparkSession, path)
 
 
 def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_and_read(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+    return encode_and_read(table(spark, sf_dir, "documents"), Scratch(spark, "op4"), cache=LARGE_CACHE)
