@@ -116,6 +116,13 @@ def test_language_model_edges(spark):
     assert (lone["train_tokens"], lone["n_known"], lone["n_tokens"]) == (0, 0, 3)
 
 
+def test_the_registered_model_has_six_states(spark, monkeypatch):
+    seen, train = [], hmm_lm.train_local
+    monkeypatch.setattr(hmm_lm, "train_local", lambda *a, **b: seen.append(train(*a, **b)) or seen[-1])
+    hmm_lm.op5_hmm_lm(spark, "/root/testdata/sf0.001")
+    assert [(m.initial.shape, m.trans.shape, m.ratio.shape[1]) for m in seen] == [((6,), (6, 6), 6)]
+
+
 def test_language_model_beats_the_base_on_held_out_documents(spark):
     got = hmm_lm.op5_hmm_lm(spark, SF).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.avg((F.col("score") > F.col("base_score")).cast("int"))).first()
     assert got[0] > 0.9 * got[1] and got[0] > got[1] and got[2] > 0.9

@@ -42,7 +42,7 @@ from .chains import Chain, firsts, forward, marginals
 from .common import Scratch, crc_mod, ship, table, tidy
 
 HELD_OUT = 10
-STATES = 4
+STATES = 6
 TOP_WORDS = 1 << 16
 CLASSES = 1 << 12
 #: Types: 0 the end, 1..CLASSES the shared ones, then the frequent words; -1 marks a word unseen in training.
