@@ -275,6 +275,24 @@ def test_edited_passages_are_found_and_clean_texts_left_alone(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in found}
 
 
+@pytest.mark.parametrize("n", [100, 150, 200, 300, 400])
+def test_long_items_edited_to_the_limit_are_found(n):
+    rng = random.Random(n)
+    vocabulary, fill = [f"b{i}" for i in range(2000)], [f"f{i}" for i in range(400)] + [f"b{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i in range(30)]
+    texts, k = [], decontaminate.allowed(n)
+    for _, text in items:
+        words = text.split()
+        for _ in range(k):
+            at, kind = rng.randrange(len(words)), rng.randint(0, 2)
+            words[at : at + (kind != 2)] = [] if kind == 1 else [rng.choice(fill)]
+        texts.append(" ".join([*rng.choices(fill, k=rng.randint(0, 300)), *words, *rng.choices(fill, k=rng.randint(0, 300))]).encode())
+    texts += [b"", None, " ".join(rng.choices(fill, k=2000)).encode()]
+    found = decontaminate.Index([(i, t.encode()) for i, t in items]).matches(texts)
+    assert sum(i in {m[0] for m in found[i]} for i, _ in items) >= 0.95 * len(items)
+    assert all({m[0] for m in hits} <= {i} and all(m[2] <= k for m in hits) for i, hits in enumerate(found))
+
+
 def test_decontamination_edges(spark, monkeypatch):
     item = bench_items(1)[0][1]
     benchmark = spark.createDataFrame([(0, item), (1, None), (2, ""), (None, item), (3, "... !")], "item_id long, text string")

@@ -13,6 +13,9 @@ of the embedding gives a key, and windows that share a key with an item (of the
 same length class) are candidates. Walks and samples are drawn again, each
 round a table of its own; rounds are as many as the target recall takes for
 the sampled match rate at the largest distance (:func:`rounds_for`).
+Long items keep a key less often. A class that takes more than ``MOST_ROUNDS``
+is searched without loss instead: of an item's k + 1 pieces, k edits leave one
+as it is, so each place that holds the first words of a piece is a candidate.
 Candidates are verified by the exact edit distance of the item to the best
 stretch of the window, widened by the distance allowed.
 
@@ -42,7 +45,7 @@ from .common import ship, table, tidy
 
 SIMILARITY = 0.8
 RECALL = 0.95
-#: Items of one pass; positions sampled for a key; ratio of lengths within a class.
+#: Items of one pass; positions sampled for a key; ratio of lengths within a class; rounds beyond which a class goes by pieces.
 BLOCK_ITEMS = 20_000
 SAMPLED = 3
 CLASS_RATIO = 1.3
@@ -67,6 +70,7 @@ def allowed(n: int, similarity: float = SIMILARITY) -> int:
 class Item:
     def __init__(self, item_id: int, code: np.ndarray):
         self.id, self.code, self.n, self.words = item_id, code, len(code), set(code.tolist())
+        self.by_pieces = False
 
 
 class Codes(dict):
@@ -110,7 +114,7 @@ def best_stretch(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int,
 
 
 class Index:
-    """Keys of a block of items, by length class and round."""
+    """Keys of a block of items, by length class and round; pieces of the items of other classes."""
 
     def __init__(self, items: list[tuple[int, bytes | None]], similarity: float = SIMILARITY, recall: float = RECALL, seed: int = SEED):
         self.similarity, self.seed = similarity, seed
@@ -127,8 +131,15 @@ class Index:
             if not self.classes or n > CLASS_RATIO * self.classes[-1][0]:
                 self.classes.append((n, n, 0))
             self.classes[-1] = (self.classes[-1][0], n, max(1, int(1.5 * (self.classes[-1][0] - allowed(self.classes[-1][0], similarity)))))
-        self.rounds = rounds_for(self, recall)
-        self.tables = [[self._table(c, r) for r in range(self.rounds)] for c in range(len(self.classes))]
+        need = rounds_for(self, recall)
+        self.hashed = [c for c, n in enumerate(need) if n <= MOST_ROUNDS]
+        self.rounds = max((need[c] for c in self.hashed), default=0)
+        self.tables = {c: [self._table(c, r) for r in range(self.rounds)] for c in self.hashed}
+        for c in set(range(len(need))) - set(self.hashed):
+            lo, hi, _ = self.classes[c]
+            for x in self.items:
+                x.by_pieces |= lo <= x.n <= hi
+        self.pieces = self._pieces()
 
     def __getstate__(self):
         return self.__dict__ | {"known": None}
@@ -192,16 +203,52 @@ class Index:
         order = np.argsort(found, kind="stable")
         return found[order], np.array(members)[order], only
 
+    def _pieces(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By number of words: sorted keys of the first words of pieces, their items and places in them."""
+        rows: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, x in enumerate(self.items):
+            if x.by_pieces:
+                n = allowed(x.n, self.similarity) + 1
+                rows.setdefault(max(1, x.n // n), []).append((i, np.arange(n) * x.n // n))
+        out = {}
+        for q, found in rows.items():
+            members, at = np.repeat([i for i, _ in found], [len(p) for _, p in found]), np.concatenate([p for _, p in found])
+            words = np.concatenate([self.items[i].code[p[:, None] + np.arange(q)] for i, p in found])
+            keys = self.key(list(words.T))
+            order = np.argsort(keys, kind="stable")
+            out[q] = keys[order], members[order], at[order]
+        return out
+
+    def piece_candidates(self, words: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+        """Coded (item, start) where an item would start if the piece found were in place."""
+        inside = ends > 0
+        begins = np.nonzero(inside & ~np.concatenate([[False], inside[:-1]]))[0]
+        for q, (keys, members, at) in self.pieces.items():
+            place = np.nonzero(inside & (words > 0))[0]
+            place = place[place + q <= ends[place]]
+            for a in range(0, len(place), PIECE):
+                part = place[a : a + PIECE]
+                mine = self.key([words[part + j] for j in range(q)])
+                left = np.searchsorted(keys, mine, "left")
+                hit = np.nonzero(keys[np.minimum(left, len(keys) - 1)] == mine)[0]
+                left, part = left[hit], part[hit]
+                n = np.searchsorted(keys, mine[hit], "right") - left
+                which = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                begin = begins[np.searchsorted(begins, part, "right") - 1]
+                start = np.maximum(np.repeat(part, n) - at[which], np.repeat(begin, n))
+                yield np.unique(members[which] * len(words) + start)
+
     def candidates(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, start) of windows that share a key with an item of their class, sorted.
+        """(item, start) of windows that share a key or piece with an item of their class, sorted.
 
         ``words`` are documents one after another, with gaps of zeros of at least
         the longest walk; ``ends`` has the document's end for each word, 0 in gaps.
         """
         unknown = np.concatenate([[0], np.cumsum(words == 0)])
         raw, place = self.names[words], np.arange(len(words))
-        found, parts = [], []
-        for c, (lo, hi, _) in enumerate(self.classes):
+        found, parts = list(self.piece_candidates(words, ends)), []
+        for c in self.hashed:
+            lo, hi, _ = self.classes[c]
             k = allowed(hi, self.similarity)
             # In an alignment of n words with at most k edits, the stretch has n - k words or more.
             least = max(1, lo - allowed(lo, self.similarity))
@@ -248,8 +295,10 @@ class Index:
             d = int(np.searchsorted(first, start, "right")) - 1
             if i == item and start < done:
                 continue
-            # The stretch looked at holds every window that starts within k words after this one.
-            a, b = max(int(first[d]), start - k), min(int(first[d] + lengths[d]), start + n + 2 * k + 1)
+            # The stretch looked at holds every window that starts within k words after this one;
+            # a piece tells its item's start only within k words, so there it is k words longer.
+            far = (3 if self.items[i].by_pieces else 2) * k
+            a, b = max(int(first[d]), start - k), min(int(first[d] + lengths[d]), start + n + far + 1)
             item, done = i, min(start + k + 1, b)
             window = words[a:b]
             # Each word of the item that the stretch lacks costs an edit.
@@ -262,14 +311,14 @@ class Index:
         return out
 
 
-def rounds_for(index: Index, recall: float, trials: int = 200) -> int:
-    """Rounds that reach the recall, by the rate at which items edited to the full distance keep a key.
+def rounds_for(index: Index, recall: float, trials: int = 200) -> list[int]:
+    """Rounds of each class that reach the recall, by the rate at which items edited to the full distance keep a key.
 
     Edits (replaced, left out and put in words) are drawn at random places of
-    random items; a round's rate is measured on each class, the lowest counts.
+    random items.
     """
     rng = np.random.default_rng(index.seed)
-    need = 1
+    need = []
     for c, (lo, hi, steps) in enumerate(index.classes):
         items = [x for x in index.items if lo <= x.n <= hi]
         kept = 0
@@ -287,8 +336,8 @@ def rounds_for(index: Index, recall: float, trials: int = 200) -> int:
             kept += pair[0] == pair[1]
             tried += 1
         rate = max(kept / max(1, tried), 0.02)
-        need = max(need, math.ceil(math.log(1 - recall) / math.log(1 - min(rate, 1 - 1e-9))))
-    return min(need, MOST_ROUNDS)
+        need.append(max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(rate, 1 - 1e-9)))))
+    return need
 
 
 _HITS = pa.schema([("rid", pa.int64()), ("id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int32()), ("distance", pa.int32()), ("first_word", pa.int32()), ("end_word", pa.int32())])
