@@ -46,3 +46,10 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_predict_covers_every_row(spark, sf_dir):
+    got = core.predict(spark, sf_dir).collect()
+    ids = [r[0] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()]
+    assert sorted(r["vec_id"] for r in got) == sorted(ids)
+    assert all(r["held_out"] == (r["vec_id"] % 5 == 0) and r["prediction"] is not None for r in got)

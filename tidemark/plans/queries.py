@@ -506,10 +506,11 @@ def feature_lookup(spark, sf_dir):
 
 @query()
 def predict(spark, sf_dir):
-    """Logistic regression on embeddings, trained on four of five rows and held against the fifth."""
+    """Logistic regression on embeddings, trained on four of five rows; every row gets a prediction, the fifth is held out."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("features"), (F.col("label") % 2).alias("label"))
     model = ml.train(rows.filter("vec_id % 5 <> 0"))
-    return ml.predict(model, rows.filter("vec_id % 5 = 0")).select("vec_id", "label", "prediction", F.round("probability", 6).alias("probability"))
+    scored = ml.predict(model, rows)
+    return scored.select("vec_id", (F.col("vec_id") % 5 == 0).alias("held_out"), "label", "prediction", F.round("probability", 6).alias("probability"))
 
 
 @query("SELECT * FROM (VALUES ('v1', 'age'), ('v1', 'click_rate'), ('v1', 'past_purchases'), ('v1', 'embedding_vector'), ('v2', 'age')) t(version, feature)")
