@@ -243,3 +243,11 @@ def test_classifier(spark):
     assert ml.accuracy(ml.predict(model, rows)).first()[0] > 0.9
     miss = spark.createDataFrame([(None, 0)], "features array<double>, label int")
     assert ml.predict(model, miss).first()["prediction"] is None
+
+
+def test_flushed_runs_are_sorted_by_key(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "sorted"))
+    store.put_batch(kv_rows(spark, [(f"k{i * 37 % 101:03}", f"v{i}", 1) for i in range(202)]))
+    parts = [[bytes(r["key"]) for r in spark.read.parquet(str(f)).collect()] for f in (tmp_path / "sorted").rglob("part-*.parquet")]
+    assert sum(map(len, parts)) == 202 and all(p == sorted(p) for p in parts)
+    assert {bytes(r["key"]): bytes(r["value"]) for r in store.view().collect()} == {f"k{i * 37 % 101:03}".encode(): f"v{i}".encode() for i in range(101)}

@@ -76,7 +76,7 @@ class Store:
             F.col("vector").cast("array<float>").alias("vector") if "vector" in has else F.lit(None).cast("array<float>").alias("vector"),
         )
         run_id = uuid.uuid4().hex
-        shaped.write.options(**RUN_OPTIONS).parquet(self._run(run_id))
+        shaped.sortWithinPartitions("key", "seq").write.options(**RUN_OPTIONS).parquet(self._run(run_id))
 
         def change(m: dict) -> dict:
             return m | {"next_batch": m["next_batch"] + 1, "runs": [*m["runs"], {"id": run_id, "batch": m["next_batch"]}]}
