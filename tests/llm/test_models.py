@@ -160,6 +160,14 @@ def test_field_learns_words_and_spans(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_the_gradient_takes_400_000_tokens(monkeypatch):
+    seen, run = [], toxicity.Field.run
+    monkeypatch.setattr(toxicity, "ITERATIONS", 1)
+    monkeypatch.setattr(toxicity.Field, "run", lambda self, score, lengths, *a: seen.append(int(lengths.sum())) or run(self, score, lengths, *a))
+    toxicity.fit((" ".join([f"w{i}x{j % 50}" for j in range(999)] + ["nasty" if i % 2 else "fine"]).encode(), i % 2) for i in range(600))
+    assert seen[0] == 400_000
+
+
 def test_toxicity_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.train(docs(spark, [(1, "a")]), labels) is None
