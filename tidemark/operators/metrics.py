@@ -22,23 +22,24 @@ def floor_percentiles(ops: DataFrame, by: str = "op", value: str = "latency_ms",
     Groups, which are few next to the rows, are counted and broadcast, so that a
     hot group's rows stay where they are. Nothing is gathered whole: values are counted in bins between each group's
     least and largest, the bin that holds each index is found from the counts,
-    and only that bin's rows are ranked. Null values don't count; a group
-    without any has 0.
+    and only that bin's distinct values, each with its count, are put in order.
+    The two small tables, spans and wanted bins, are kept, so that the rows are
+    read three times. Null values don't count; a group without any has 0.
     """
     rows = ops.select(by, F.col(value).alias("v")).filter("v is not null")
-    span = rows.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    span = ops.groupBy(by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n")).persist()
     width = (F.col("hi") - F.col("lo")) / BINS
     binned = rows.join(small(span), by).withColumn("bin", F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(BINS - 1))).otherwise(0))
     upto = Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = binned.groupBy(by, "bin").agg(F.count("*").alias("c"), F.first("n").alias("n")).withColumn("upto", F.sum("c").over(upto))
     wanted = F.explode(F.array(*[F.struct(F.lit(f"p{round(q * 100)}").alias("name"), F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1).alias("at")) for q in quantiles])).alias("w")
     target = counts.select(by, "bin", "c", "upto", wanted).filter((F.col("w.at") < F.col("upto")) & (F.col("w.at") >= F.col("upto") - F.col("c")))
-    target = target.select(by, "bin", F.col("w.name").alias("name"), (F.col("w.at") - (F.col("upto") - F.col("c"))).alias("place"))
-    inside = binned.join(small(target.select(by, "bin").distinct()), [by, "bin"], "left_semi")
-    ranked = inside.withColumn("place", F.row_number().over(Window.partitionBy(by, "bin").orderBy("v")) - 1)
-    hits = ranked.join(target, [by, "bin", "place"]).groupBy(by).pivot("name", [f"p{round(q * 100)}" for q in quantiles]).agg(F.first("v"))
-    groups = ops.select(by).distinct().join(hits, by, "left")
-    return groups.select(by, *[F.coalesce(f"p{round(q * 100)}", F.lit(0.0)).alias(f"p{round(q * 100)}") for q in quantiles])
+    target = target.select(by, "bin", F.col("w.name").alias("name"), (F.col("w.at") - (F.col("upto") - F.col("c"))).alias("place")).persist()
+    inside = binned.join(small(target.select(by, "bin").distinct()), [by, "bin"], "left_semi").groupBy(by, "bin", "v").agg(F.count("*").alias("c"))
+    ranked = inside.withColumn("end", F.sum("c").over(Window.partitionBy(by, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    hits = ranked.join(target, [by, "bin"]).filter((F.col("place") < F.col("end")) & (F.col("place") >= F.col("end") - F.col("c")))
+    hits = hits.groupBy(by).pivot("name", [f"p{round(q * 100)}" for q in quantiles]).agg(F.first("v"))
+    return span.select(by).join(hits, by, "left").select(by, *[F.coalesce(f"p{round(q * 100)}", F.lit(0.0)).alias(f"p{round(q * 100)}") for q in quantiles])
 
 
 def gauges(ops: DataFrame) -> DataFrame:
