@@ -53,6 +53,34 @@ def test_read_repair_and_deletes(spark):
     assert got(c.get(keys(spark, "k")))["k"][2:] == (True, True)
 
 
+def test_vectors_come_back_by_hints_and_repair(spark):
+    c = Cluster(spark, files.fresh_folder(spark, "cluster"), ["A", "B", "C"])
+    put = lambda v, ts: c.put_batch(spark.createDataFrame([("k", "v", v)], "key string, value string, vector array<float>"), ts)
+    put([1.0, 0.0], 1)
+    c.down = {"A"}
+    put([0.0, 1.0], 2)
+    put([1.0, 1.0], 3)
+    near = lambda node, v: c.stores[node].search(v, 1).first()["score"]
+    c.down = set()
+    assert near("A", [1.0, 0.0]) == pytest.approx(1)
+    c.get(keys(spark, "k"))
+    assert near("A", [1.0, 1.0]) == pytest.approx(1)
+    c.replay_hints("A")
+    assert near("A", [1.0, 1.0]) == pytest.approx(1) and near("B", [1.0, 1.0]) == pytest.approx(1)
+
+
+def test_reads_resolve_the_first_answers(spark):
+    c = Cluster(spark, files.fresh_folder(spark, "cluster"), ["A", "B", "C"], w=1, r=2)
+    c.put_batch(rows(spark, ("k", "old")), ts=1)
+    c.down = {"A", "B"}
+    c.put_batch(rows(spark, ("k", "new")), ts=2)
+    c.down = set()
+    first = c.get(keys(spark, "k"), repair=False).first()
+    assert bytes(first["value"]) == b"old" and first["n_ok"] == 2  # C answers third
+    c.get(keys(spark, "k"))
+    assert got(c.get(keys(spark, "k"), repair=False))["k"][0] == "new"
+
+
 def test_partition_of_five(spark):
     c = Cluster(spark, files.fresh_folder(spark, "cluster"), list("ABCDE"), n=5, w=3, r=3)
     c.down = {"A", "B", "C"}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, vectors
-from tidemark.operators import bloom, metrics, ml, ring, vector
+from tidemark.operators import bloom, cuts, metrics, ml, ring, vector
 from tidemark.schema import LOG
 from tidemark.sources import files, wal
 from tidemark.sources.store import Store
@@ -161,8 +161,12 @@ def test_store(spark):
     store.delete(spark.createDataFrame([("k2",)], "key string"), ts=9)
     want = {"k1": ("v1", 1, False), "k2": (None, 9, True), "k3": ("v3", 3, False)}
     assert values(store.view()) == want
+    old = store.log()
     store.compact()
     assert values(store.view()) == want and len(store.manifest()["runs"]) == 1
+    assert old.count() == 6 and len(store.manifest()["retired"]) == 4  # readers of the manifest before go on
+    store.compact(keep_s=0)
+    assert values(store.view()) == want and not store.manifest()["retired"]
     store.put_batch(kv_rows(spark, [("k3", "tie again", 3), ("k2", "back", 10)]))
     again = Store(spark, store.path)
     assert values(again.view()) == want | {"k2": ("back", 10, False)}
@@ -213,6 +217,67 @@ def test_store_search_survives_compaction(spark):
         store.compact()
 
 
+def test_arrival_order_holds_for_batches_of_many_partitions(spark):
+    names = spark.range(400).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(1).cast("long").alias("ts"))
+    first = names.withColumn("value", F.lit("first")).withColumn("vector", F.array(F.lit(1.0), F.lit(0.0))).repartition(200, "key")
+    second = names.withColumn("value", F.lit("second")).withColumn("vector", F.array(F.lit(0.0), F.lit(1.0))).repartition(200, F.reverse("key"))
+    store, peer = (Store(spark, files.fresh_folder(spark, x)) for x in ("many", "peer"))
+    store.put_batch(first)
+    store.put_batch(second)
+    peer.put_batch(first.withColumn("ts", F.lit(0).cast("long")))
+    peer.sync_from(store)
+
+    def check(s):
+        assert {bytes(r["value"]) for r in s.view().collect()} == {b"first"}  # of equal times the first arrival
+        assert {round(r["score"], 6) for r in s.search([0.0, 1.0], 400).collect()} == {1.0}  # the last arrival's vector
+
+    check(store)
+    check(peer)
+    store.compact()
+    check(store)
+    store.put_batch(first)
+    assert {round(r["score"], 6) for r in store.search([1.0, 0.0], 400).collect()} == {1.0}
+    assert store.view().count() == 400 and store.scan_since(1, vectors=True).filter("size(vector) > 0").count() == 400
+
+
+def brute_cuts(rows, start, step):
+    out, state = [], {}
+    for unit, order, x in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        state[unit], made = step(state.get(unit, start), 0 if x is None else x, x)
+        out.append((unit, order, *made))
+    return sorted(out, key=str)
+
+
+def test_cuts_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(u, i, None if rng.random() < 0.1 else int(rng.integers(0, 90))) for u in ("a", "b", None) for i in range(700)] + [("c", 0, None), ("d", 0, 5000)]
+    for cast in ("string", "int"):
+        made = [((None if u is None else ord(u) % 7) if cast == "int" else u, i, x) for u, i, x in rows]
+        df = spark.createDataFrame(made, f"unit {cast}, seq long, size int").repartition(5)
+
+        def index(s, x, _):
+            cut = s[1] is None or s[0] - s[1] >= 100
+            return (s[0] + x, s[0] if cut else s[1]), (s[0], cut)
+
+        def flush(s, x, _):
+            s = (0, s[1] + 1) if s[0] >= 300 else s
+            return (s[0] + x, s[1]), (s[1],)
+
+        def group(s, x, known):
+            n, first, g = s
+            if n and (n >= 7 or (first is not None and known is not None and x - first >= 40)):
+                n, first, g = 0, None, g + 1
+            return (n + 1, known if first is None else first, g), (g,)
+
+        got = sorted((tuple(r) for r in cuts.sparse_index(df, "unit", "seq", "size", 100).collect()), key=str)
+        assert got == [r[:3] for r in brute_cuts(made, (0, None), index) if r[3]]
+        got = sorted((tuple(r[c] for c in ("unit", "seq", "segment")) for r in cuts.flush_cuts(df, "unit", "seq", "size", 300).collect()), key=str)
+        assert got == brute_cuts(made, (0, 0), flush)
+        got = sorted((tuple(r[c] for c in ("unit", "seq", "commit_group")) for r in cuts.commit_groups(df, "unit", "seq", "size", 7, 40).collect()), key=str)
+        assert got == brute_cuts(made, (0, None, 0), group)
+    assert cuts.flush_cuts(df.limit(0), "unit", "seq", "size", 5).count() == 0
+
+
 def test_stream_equals_batch(spark):
     rows = [(bytearray(f"k{i % 7}".encode()), bytearray(str(i).encode()), (i * 37) % 50, i % 11 == 0, i) for i in range(200)]
     log = spark.createDataFrame(rows, LOG)

@@ -1,7 +1,8 @@
 """Last-write-wins views of a log (key, value, ts, tombstone, seq).
 
-The version with the largest ts wins; of equal ones the first arrival (smallest
-seq). A delete is a version like any other, with its tombstone set.
+The version with the largest ts wins; of equal ones the first arrival: the
+smallest seq or, in a log of several batches, the smallest (batch, seq). A
+delete is a version like any other, with its tombstone set.
 """
 
 from __future__ import annotations
@@ -10,9 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _age() -> Column:
+def arrival_columns(log: DataFrame) -> list[str]:
+    """The columns that order a log's rows by arrival."""
+    return ["batch", "seq"] if "batch" in log.columns else ["seq"]
+
+
+def arrival(log: DataFrame) -> Column:
+    return F.struct(*arrival_columns(log))
+
+
+def _age(log: DataFrame) -> Column:
     """Orders versions: the maximum wins."""
-    return F.struct(F.col("ts"), (-F.col("seq")).alias("first"))
+    return F.struct(F.col("ts"), *[(-F.col(c)).alias(f"-{c}") for c in arrival_columns(log)])
 
 
 def latest(log: DataFrame, key: str = "key", by: Column | None = None) -> DataFrame:
@@ -22,16 +32,30 @@ def latest(log: DataFrame, key: str = "key", by: Column | None = None) -> DataFr
     bottleneck. Null keys are one key. Columns stay as they are.
     """
     rest = [c for c in log.columns if c != key]
-    won = log.groupBy(key).agg(F.max_by(F.struct(*rest), _age() if by is None else by).alias("won"))
+    won = log.groupBy(key).agg(F.max_by(F.struct(*rest), _age(log) if by is None else by).alias("won"))
     return won.select(key, "won.*").select(*log.columns)
 
 
 def latest_ranked(log: DataFrame, key: str = "key") -> DataFrame:
     """The same by ranking; for rows too wide to pass through aggregation buffers."""
-    order = Window.partitionBy(key).orderBy(F.col("ts").desc(), F.col("seq"))
+    order = Window.partitionBy(key).orderBy(F.col("ts").desc(), *arrival_columns(log))
     return log.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
 
 
+def essential(log: DataFrame, key: str = "key") -> DataFrame:
+    """What all later reads of a log with vectors need: each key's winner, and the put that brought
+    its last vector, which may be another version (vectors go by arrival). Columns stay.
+
+    A combining aggregate of one shuffle, as :func:`latest`; a winner's older vector goes.
+    """
+    row, came = F.struct(*log.columns), F.when(F.size("vector") > 0, arrival(log))
+    both = log.groupBy(key).agg(F.max_by(row, _age(log)).alias("won"), F.max_by(row, came).alias("last"))
+    same = F.forall(F.array(*[F.col(f"won.{c}") == F.col(f"last.{c}") for c in arrival_columns(log)]), lambda x: x)
+    bare = F.col("won").withField("vector", F.lit(None).cast(log.schema["vector"].dataType))
+    rows = F.when(F.col("last").isNull() | same, F.array("won")).otherwise(F.array(bare, F.col("last")))
+    return both.select(F.explode(rows).alias("row")).select("row.*").select(*log.columns)
+
+
 def live(log: DataFrame, key: str = "key") -> DataFrame:
     """Keys whose winning version is not a delete. The filter must come after the fold."""
     return latest(log, key).filter(~F.col("tombstone"))
@@ -57,7 +81,7 @@ def lookup(log: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
 
 def layered_get(log: DataFrame, layer: str = "layer", key: str = "key") -> DataFrame:
     """For study: the newest layer that holds a key answers, whatever its time."""
-    return latest(log, key, F.struct(layer, "ts", (-F.col("seq")).alias("first")))
+    return latest(log, key, F.struct(F.col(layer).alias("layer"), _age(log).alias("age")))
 
 
 def compact(log: DataFrame, layer: str = "layer", key: str = "key") -> DataFrame:

@@ -46,10 +46,12 @@ def stale_replicas(answers: DataFrame) -> DataFrame:
 
 
 def read_repair(answers: DataFrame) -> DataFrame:
-    """(node, key, value, ts, tombstone): the winning record for each replica that is behind."""
+    """(node, key, value, ts, tombstone): the winning record for each replica that is behind,
+    with its vector if the answers have that column."""
     found = answers.filter("ok and found")
-    won = found.groupBy("key").agg(F.max_by(F.struct("value", "ts", "tombstone"), F.struct("ts", -F.col("resp_order"))).alias("won"))
-    return stale_replicas(answers).join(won, "key").select("node", "key", "won.value", "won.ts", "won.tombstone")
+    record = [c for c in ("value", "ts", "tombstone", "vector") if c in answers.columns]
+    won = found.groupBy("key").agg(F.max_by(F.struct(*record), F.struct("ts", -F.col("resp_order"))).alias("won"))
+    return stale_replicas(answers).join(won, "key").select("node", "key", *[f"won.{c}" for c in record])
 
 
 def replay_hints(hints: DataFrame, up: DataFrame, store: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from .lww import arrival, tombstones
 
 #: Queries scored against each batch of the corpus at once; more make more passes.
 BLOCK_QUERIES = 4096
@@ -21,7 +22,7 @@ BLOCK_ROWS = 1024
 def latest_vectors(vectors: DataFrame) -> DataFrame:
     """The last arrival of each id, whatever its time: vectors are versioned by arrival."""
     rest = [c for c in vectors.columns if c != "id"]
-    won = vectors.groupBy("id").agg(F.max_by(F.struct(*rest), "seq").alias("won"))
+    won = vectors.groupBy("id").agg(F.max_by(F.struct(*rest), arrival(vectors)).alias("won"))
     return won.select("id", "won.*").select(*vectors.columns)
 
 
@@ -104,6 +105,4 @@ def knn_sharded(shards: list[DataFrame], query: list[float], k: int) -> DataFram
 
 def searchable(vectors: DataFrame, log: DataFrame) -> DataFrame:
     """Vectors whose key's current version is not a delete (keys without a version stay)."""
-    from .lww import tombstones
-
     return vectors.join(tombstones(log).select("key"), "key", "left_anti")

@@ -13,6 +13,8 @@ LOG = T.StructType(
 )
 #: A log row with the optional vector of a put.
 RECORD = T.StructType([*LOG.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
+#: A row of a store's run: ``batch`` is null in a run of one batch, whose number the manifest has.
+STORED = T.StructType([T.StructField("batch", T.LongType()), *RECORD.fields])
 VECTOR = T.StructType(
     [
         T.StructField("id", T.StringType()),

@@ -3,7 +3,8 @@
 Each node is a :class:`Store`. Batches are placed by the ring, written to every
 replica that is up, and kept as hints for the others; a key's write is
 committed if W replicas took it. Reads gather the answers of the replicas that
-are up, resolve them by time and send the winner to those that are behind.
+are up, resolve the first R of them by time, and send the newest record, its
+vector included, to all that are behind.
 """
 
 from __future__ import annotations
@@ -35,14 +36,17 @@ class Cluster:
         shaped = rows.withColumn("key", F.col("key").cast("binary"))
         if "ts" not in shaped.columns:
             shaped = shaped.withColumn("ts", F.lit(ts).cast("long"))
+        if "seq" not in shaped.columns:  # one order of arrival for all replicas
+            shaped = shaped.withColumn("seq", F.monotonically_increasing_id())
         batch = f"{self.path}/batches/{uuid.uuid4().hex}"
-        self._placed(shaped).write.parquet(batch)  # every replica reads the same rows
-        placed = self.spark.read.parquet(batch)
+        dealt = self._placed(shaped).withColumn("owner", F.explode("owners"))
+        dealt.write.partitionBy("owner").parquet(batch)  # a node reads its own rows only
+        placed = self.spark.read.schema(dealt.schema).parquet(batch)
         for node, store in self.stores.items():
-            mine = placed.filter(F.array_contains("owners", node)).drop("owners")
+            mine = placed.filter(F.col("owner") == node).drop("owners", "owner")
             (self.hints[node] if node in self.down else store).put_batch(mine, ts)
         up = F.size(F.array_except("owners", F.array(*[F.lit(x) for x in sorted(self.down)]).cast("array<string>")))
-        acks = placed.select("key", up.cast("long").alias("n_ok")).distinct()
+        acks = placed.filter(F.col("owner") == F.col("owners")[0]).select("key", up.cast("long").alias("n_ok")).distinct()
         return acks.withColumn("committed", F.col("n_ok") >= self.w)
 
     def delete(self, keys: DataFrame, ts: int | None = None) -> DataFrame:
@@ -56,9 +60,9 @@ class Cluster:
             if node in self.down:
                 continue
             mine = asked.filter(F.array_contains("owners", node))
-            held = lww.latest(store.log().drop("vector", "layer").join(mine, "key", "left_semi"))
+            held = lww.latest(store.log().drop("layer").join(mine, "key", "left_semi"))
             part = mine.select("key").join(held, "key", "left").select(
-                "key", F.lit(node).alias("node"), "value", "ts", F.coalesce("tombstone", F.lit(False)).alias("tombstone"), F.col("ts").isNotNull().alias("found"), F.lit(True).alias("ok"), F.lit(i).alias("resp_order")
+                "key", F.lit(node).alias("node"), "value", "vector", "ts", F.coalesce("tombstone", F.lit(False)).alias("tombstone"), F.col("ts").isNotNull().alias("found"), F.lit(True).alias("ok"), F.lit(i).alias("resp_order")
             )
             out = part if out is None else out.unionByName(part)
         if out is None:
@@ -66,17 +70,13 @@ class Cluster:
         return out
 
     def get(self, keys: DataFrame, repair: bool = True) -> DataFrame:
-        """(key, n_ok, quorum, value, ts, tombstone, found) of each key, from all replicas that answer."""
+        """(key, n_ok, quorum, value, ts, tombstone, found) of each key, from the first R replicas, in the
+        order of nodes, that answer; repair takes all answers into account."""
         answers = self._answers(keys)
         if repair:
             self.read_repair(answers)
-        good = answers.groupBy("key").agg(
-            F.count_if("ok").alias("n_ok"),
-            F.max(F.when(F.col("found"), F.struct("ts", (-F.col("resp_order")).alias("first"), "value", "tombstone"))).alias("won"),
-        )
-        met = F.col("n_ok") >= self.r
-        value = lambda c: F.when(met, F.col(f"won.{c}")).alias(c)
-        return good.select("key", "n_ok", met.alias("quorum"), value("value"), value("ts"), value("tombstone"), (met & F.col("won").isNotNull()).alias("found"))
+        won = quorum.read_resolve(answers, self.r).withColumn("found", F.coalesce("found", F.lit(False)))
+        return won.withColumn("tombstone", F.when(F.col("found"), F.col("tombstone")))
 
     def read_repair(self, answers: DataFrame) -> None:
         fixes = quorum.read_repair(answers)

@@ -11,10 +11,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or in its absence (tests on one machine) a temporary folder."""
+    """spark.checkpoint.dir, or in its absence, on a local master only (tests), a temporary folder."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(sc, "_tidemark_files"):
         local = tempfile.mkdtemp(prefix="tidemark-files-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
