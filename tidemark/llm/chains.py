@@ -80,8 +80,10 @@ def forward(chain: Chain, e: np.ndarray, initial: np.ndarray, trans: np.ndarray)
     return alpha, scale, m
 
 
-def marginals(chain: Chain, e: np.ndarray, initial: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the tokens' weights e (n, K): state marginals (n, K), expected transitions (K, K), scales (n)."""
+def marginals(chain: Chain, e: np.ndarray, initial: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens' weights e (n, K): state marginals (n, K), expected transitions (K, K), scales (n).
+
+    ``weight``, if given, is what the transition into each token counts."""
     f = chain.fold(e)
     alpha, scale, m = forward(chain, f, initial, trans)
     k = len(initial)
@@ -108,5 +110,6 @@ def marginals(chain: Chain, e: np.ndarray, initial: np.ndarray, trans: np.ndarra
     # xi(t) = alpha(t-1) x trans x (e beta)(t), made to sum to one; none into a first token
     total = ((a @ trans) * after) @ one
     share = np.where(chain.first.reshape(-1)[1 : chain.n], 0, 1 / np.where(total > 0, total, 1))
+    share = share if weight is None else share * weight[1:]
     moves = (a.T @ (after * share[:, None])) * trans
     return gamma, moves, chain.tokens(scale)

@@ -12,16 +12,21 @@ Labelled tokens: labels exist for documents only. In a bounded sample of
 labelled documents (near copies removed) a greedy cover chooses features whose
 presence, or presence in several tokens, tells toxic documents from clean ones;
 the tokens of toxic documents that have such a feature are labelled toxic, all
-others clean.
+others clean. The field learns from these, then estimates the labels again
+itself (:func:`under_labels`): forward-backward, given that a toxic document
+has a toxic token and a clean one has none, gives each token's label as a
+chance, and the field learns from those, ``ROUNDS`` times.
 
 Scale: the sample's bounds are parameters and the fitted weights have a fixed
-size. Scoring is one pass without a shuffle: a token's weight depends on its
+size. One executor task fits the field, so that the driver sees no text.
+Scoring is one pass without a shuffle: a token's weight depends on its
 word only and is kept by word, and a batch's tokens run through the recursions
 together, however long single documents are.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -35,13 +40,14 @@ from .chains import Chain, firsts, marginals
 from .common import ASCII_LOWER, WORD, crc_mod, ship, table, tidy
 
 HELD_OUT = 5
-#: The sample that the field is fitted on: rows, bytes of a text, tokens of the gradient.
-SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TOKENS = 8000, 20_000, 400_000
+#: The sample that the field is fitted on: rows, bytes of all its texts, tokens of the gradient.
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TOKENS = 8000, 48 << 20, 400_000
 #: Features of a word at most, and their hashed numbers.
 FEATURES = 9
 DIM = 1 << 18
 COVER_DIM = 1 << 22
-ITERATIONS = 50
+#: Steps of the gradient on the cover's labels; rounds of new labels, and steps on each.
+ITERATIONS, ROUNDS, ROUND_STEPS = 50, 3, 10
 NOTABLE = 0.1
 PURE = 0.85
 PUNCTUATION = b".,;:!?()[]{}\"'|"
@@ -96,11 +102,38 @@ class Field:
         """The chance that each token is toxic, of documents with at least one token each."""
         return self.run(scores, lengths)[0][:, 1]
 
-    def run(self, scores: np.ndarray, lengths: np.ndarray):
+    def run(self, scores: np.ndarray, lengths: np.ndarray, weight: np.ndarray | None = None):
         s = np.clip(scores, -30, 30)
         top = np.maximum(s, 0)
         e = np.stack([np.exp(-top), np.exp(s - top)], axis=1)
-        return marginals(Chain(firsts(lengths)), e, np.exp(self.start), np.exp(self.trans))
+        start = np.exp(self.start)
+        return marginals(Chain(firsts(lengths)), e, start / start.sum(), np.exp(self.trans), weight)
+
+    def all_clean(self, scores: np.ndarray, lengths: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """The chance of each document that no token is toxic, from the scales of ``run``."""
+        at = np.cumsum(lengths) - lengths
+        rest = np.add.reduceat(np.maximum(np.clip(scores, -30, 30), 0) + np.log(scale), at)
+        path = self.start[0] - np.log(np.exp(self.start).sum()) + (lengths - 1) * self.trans[0, 0] - rest
+        return np.exp(np.minimum(path, 0))
+
+
+def under_labels(field: Field, scores: np.ndarray, lengths: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the documents' labels make of the field: each token's chance to be toxic, the expected
+    first states and moves.
+
+    A clean document has no toxic token, a toxic one at least one: of the
+    marginals of all paths the path without any is taken out.
+    """
+    _, _, scale = field.run(scores, lengths)
+    none = field.all_clean(scores, lengths, scale)
+    some = np.maximum(1 - none, 1e-9)
+    share = np.where(toxic, 1 / some, 0.0)
+    gamma, moves, _ = field.run(scores, lengths, np.repeat(share, lengths))
+    chance = np.minimum(gamma[:, 1] * np.repeat(share, lengths), 1.0)
+    first = chance[np.cumsum(lengths) - lengths].sum()
+    # Paths without a toxic token have clean moves only: a clean document's own, and too many of a toxic one's.
+    moves = moves + np.diag([((lengths - 1) * np.where(toxic, -none / some, 1.0)).sum(), 0.0])
+    return chance, np.array([len(lengths) - first, first]), np.maximum(moves, 0)
 
 
 def _coded(texts: Iterable[tuple[bytes, int]]) -> tuple[list[bytes], list[tuple[np.ndarray, int]]]:
@@ -193,13 +226,17 @@ def fit(texts: Iterable[tuple[bytes, int]]) -> Field | None:
     seen_moves = np.zeros((2, 2))
     np.add.at(seen_moves, (truth[inner - 1].astype(int), truth[inner].astype(int)), 1)
     seen_start = np.bincount(truth[first].astype(int), minlength=2)
+    toxic = np.array([y == 1 for _, y in train])
     field = Field(np.zeros(DIM), -4.0, np.zeros(2), np.zeros((2, 2)))
     # Adam on the penalised negative log likelihood, all tokens at once.
     size = DIM + 7
     value, m, v = np.concatenate([field.theta, [field.bias], field.start, field.trans.ravel()]), np.zeros(size), np.zeros(size)
-    for step in range(1, ITERATIONS + 1):
+    for step in range(1, ITERATIONS + ROUNDS * ROUND_STEPS + 1):
         field = Field(value[:DIM], value[DIM], value[DIM + 1 : DIM + 3], value[DIM + 3 :].reshape(2, 2))
-        gamma, moves, _ = field.run((field.theta[x].sum(1) + field.bias)[tokens], lengths)
+        scores = (field.theta[x].sum(1) + field.bias)[tokens]
+        if step > ITERATIONS and (step - ITERATIONS - 1) % ROUND_STEPS == 0:
+            truth, seen_start, seen_moves = under_labels(field, scores, lengths, toxic)
+        gamma, moves, _ = field.run(scores, lengths)
         off = gamma[:, 1] - truth
         by_word = np.bincount(tokens, off, len(used))
         g = np.bincount(x.ravel(), np.repeat(by_word, FEATURES), DIM)
@@ -209,8 +246,8 @@ def fit(texts: Iterable[tuple[bytes, int]]) -> Field | None:
         value = value - 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     field = Field(value[:DIM].copy(), float(value[DIM]), value[DIM + 1 : DIM + 3].copy(), value[DIM + 3 :].reshape(2, 2).copy())
     shown, labels, score = [], [], field.theta[numbered(raw, DIM)].sum(1) + field.bias
-    for at in range(0, len(docs), 500):
-        part = docs[at : at + 500]
+    piece = np.cumsum([len(w) for w, _ in docs]) // PIECE_TOKENS
+    for part in (docs[a:b] for a, b in zip(*_runs(piece), strict=True)):
         lengths = np.array([len(w) for w, _ in part])
         p = field.marginals(score[np.concatenate([w for w, _ in part])], lengths)
         shown += [evidence(x) for x in np.split(p, np.cumsum(lengths)[:-1])]
@@ -219,6 +256,12 @@ def fit(texts: Iterable[tuple[bytes, int]]) -> Field | None:
     return field
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of runs of equal values."""
+    begins = np.nonzero(np.diff(x, prepend=x[0] - 1))[0]
+    return begins, np.append(begins[1:], len(x))
+
+
 def evidence(p: np.ndarray) -> list[float]:
     """Of a document's marginals: one, the largest one's log odds, the log of the expected number."""
     top = np.clip(p.max(initial=0.0), 1e-6, 1 - 1e-6)
@@ -309,22 +352,39 @@ def _clean(field: Field | None, text: int):
     return tidy(run)
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (text, label) in the sample's order to the fitted field."""
+
+    def sample() -> Iterator[tuple[bytes, int]]:
+        rows = size = 0
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if rows < SAMPLE_ROWS and size + len(text) <= SAMPLE_BYTES:
+                    rows, size = rows + 1, size + len(text)
+                    yield text, int(y > 0)
+
+    yield pa.record_batch([pa.array([pickle.dumps(fit(sample()))], pa.binary())], names=["field"])
+
+
 def train(docs: DataFrame, labels: DataFrame, learn=None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Field | None:
     """Fits the field on labelled rows where ``learn`` holds (default: not held out).
 
-    Of rows with a label and a text of at most SAMPLE_BYTES, the SAMPLE_ROWS
-    with the smallest hash of the key are taken. Rows without a label or key
+    Of rows with a label and a text, the SAMPLE_ROWS with the smallest hash of
+    the key are taken, as long as their texts, which are taken whole, fit into
+    SAMPLE_BYTES together. Rows without a label or key
     don't count; a key with several labels counts as toxic if one says so.
     """
+    ship(docs.sparkSession)
     learn = (crc_mod(key, HELD_OUT) != 0) if learn is None else learn
     one = labels.select(F.col(key), F.col(label).cast("int").alias("y")).filter("y is not null").groupBy(key).agg(F.max("y").alias("y"))
     h = F.crc32(F.concat(F.lit("sample "), F.col(key).cast("string")).cast("binary"))
     # Only hashes below a limit can be among the smallest: half as many again as are wanted.
     limit = int(min(1.0, 1.5 * SAMPLE_ROWS / max(1, one.count())) * 2**32)
     near = one.filter(h < limit)
-    rows = docs.select(F.col(key), F.col(text).cast("binary").alias("t")).filter(learn & (h < limit) & F.col("t").isNotNull() & (F.length("t") <= SAMPLE_BYTES))
-    picked = rows.join(near, key).select("t", "y", h.alias("h")).orderBy("h", "t").limit(SAMPLE_ROWS)
-    return fit((bytes(r[0]), int(r[1] > 0)) for r in picked.toLocalIterator())  # SAMPLE_ROWS rows at most
+    rows = docs.select(F.col(key), F.col(text).cast("binary").alias("t")).filter(learn & (h < limit) & F.col("t").isNotNull())
+    picked = rows.join(near, key).select("t", "y", h.alias("h")).repartition(1).sortWithinPartitions("h", "t")  # 1.5 SAMPLE_ROWS or so
+    found = picked.select("t", "y").mapInArrow(tidy(_fit), "field binary").collect()  # one row, of the weights' size
+    return pickle.loads(found[0][0]) if found else None
 
 
 def score_toxicity(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
