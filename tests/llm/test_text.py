@@ -162,7 +162,7 @@ def test_segment_gives_any_token():
         for ids in (np.zeros(0), rng.integers(0, 200, 3000), rng.integers(0, 2**32, 2000, dtype=np.uint64), rng.choice([0, 255, 256, 65535, 65536, 2**24, 2**32 - 1], 1500), np.arange(513)):
             ids = ids.astype(np.uint32)
             s = token_codes.Segment(token_codes.write_segment(ids, [7, None], [0, len(ids) // 2], width))
-            assert (s.read() == ids).all() and len(s) == len(ids) and s.doc_ids == [7, None]
+            assert (s.read() == ids).all() and len(s) == len(ids) and s.documents()[0] == [7, None]
             assert (s.document(1) == ids[len(ids) // 2 :]).all()
             for i in rng.integers(0, max(1, len(ids)), 60).tolist() if len(ids) else []:
                 assert s[i] == ids[i]
@@ -207,6 +207,28 @@ def test_token_files_round_trip(spark, tokenizer):
     empty = scratch.path()
     token_codes.write_tokens(docs(spark, []), empty)
     assert token_codes.read_tokens(spark, empty).count() == 0
+    assert token_codes.TokenFiles(spark, empty).tokens == 0
+
+
+def test_any_token_is_read_from_storage_by_a_few_bytes(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(token_codes, "FILE_SEGMENTS", 3)
+    rows = [(i * 13 % 997, t) for i, t in enumerate(mixed_texts())]
+    path = Scratch(spark, "t").path()
+    token_codes.write_tokens(docs(spark, rows).repartition(3), path, limit=3000)
+    want = np.concatenate([[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for _, t in sorted(rows, key=lambda r: r[0])])
+    files = token_codes.TokenFiles(spark, path)
+    assert files.tokens == len(want) and len(files.names) > 8
+    index = token_codes.token_index(spark, path).collect()
+    assert sum(r["n_tokens"] for r in index) == len(want) and max(r["file"] for r in index) > 0
+    rng = np.random.default_rng(9)
+    places = [0, len(want) - 1, *rng.integers(0, len(want), 60).tolist()]
+    assert [files.token(i) for i in places] == want[places].tolist()
+    # the head, the directory, and at most three places of each level
+    assert files.bytes_read / len(places) < 56 + 16 * 4 + 4 * (2 + 64 + 4) < sum(r["size"] for r in index) / 1000
+    for a in rng.integers(0, len(want), 5).tolist():
+        assert (files.read(a, a + 4000) == want[a : a + 4000]).all()
+    with pytest.raises(IndexError):
+        files.token(len(want))
 
 
 # Decontamination

@@ -7,20 +7,22 @@ order. Each level has a continuation bitmap (bit i: id i of the level goes on)
 and a rank directory, the number of set bits before every 512th bit. The token
 at position i is read by following its bit: its place in the next level is the
 rank of its bit, found by one directory entry and at most 512 bits. Nothing
-else is decoded.
+else is read or decoded, from memory or from storage.
 
-    magic  8 bytes  b"TIDEDAC1"
-    header          u32 width, u32 levels, u64 tokens, u64 documents
+    header          8 bytes b"TIDEDAC2", u32 width, u32 levels, u32 part, u32 seq,
+                    u64 at, u64 tokens, u64 documents
+    directory       for each level u64 n, u64 place of its first byte in the segment
     documents       i64 doc_id each, u8 present (0: null id) each, u64 start each
-    level, each     u64 n, u64 ones,
-                    chunks   n x u8 (width 8) or u16 (width 16),
+    level, each     chunks   n x u8 (width 8) or u16 (width 16),
                     bitmap   ceil(n / 8) bytes,
                     ranks    ceil(n / 512) x u32
 
-Segments are the binary values of a Parquet dataset (part, seq, at, n_tokens,
-n_docs, segment), so any store that Spark reaches holds them: part is the place
-of a range of doc_ids, seq counts within it and ``at`` is the number of tokens
-of the part before the segment.
+A dataset has raw files of at most ``FILE_SEGMENTS`` segments, each followed by
+a line feed, in ``kind=segments``, and their index, a line of text for each
+segment, in ``kind=index`` (``INDEX``). Part is the place of a range of
+doc_ids, seq counts within it and ``at`` is the number of tokens of the part
+before the segment. Both are written by Spark, so any store that it reaches
+holds them; :class:`TokenFiles` reads single tokens by byte ranges.
 
 Scale: one shuffle, by ranges of (doc_id, hash of the text); each task encodes
 its range in order and closes a segment after a bounded number of tokens. The
@@ -29,11 +31,13 @@ prefix sum over parts is the only thing the driver sees: one number a part.
 
 from __future__ import annotations
 
+import bisect
 import os
+import re
 import struct
 import threading
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import chain
 
@@ -41,17 +45,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NO_MARK, Scratch, partitions, ship, table, tidy
 
-MAGIC = b"TIDEDAC1"
+MAGIC = b"TIDEDAC2"
+HEAD = struct.Struct("<8sIIIIQQQ")
 WIDTH = 8
 RANK_STEP = 512
 END = 0
 #: A segment closes at the first document end after so many tokens.
 SEGMENT_TOKENS = 1 << 18
+#: Segments of a file, and the columns of a line of the index (size: bytes of the segment at the file's offset).
+FILE_SEGMENTS = 64
+INDEX = "part int, seq int, file int, offset long, size long, at long, n_tokens long, n_docs long"
 #: Pieces of text whose ids a worker keeps: about 0.2 kB each, beside other stages or alone.
 CACHE, LARGE_CACHE = 400_000, 1_200_000
 IDLE_S = 5
@@ -198,7 +207,7 @@ class Encoder:
         return self.encode_many(pa.array([text], pa.string()))[0]
 
 
-def write_segment(ids: np.ndarray, doc_ids: list[int | None], starts: list[int], width: int = WIDTH) -> bytes:
+def write_segment(ids: np.ndarray, doc_ids: list[int | None], starts: list[int], width: int = WIDTH, part: int = 0, seq: int = 0, at: int = 0) -> bytes:
     """One segment of the format above."""
     if width not in (8, 16):
         raise ValueError("chunks have 8 or 16 bits")
@@ -208,75 +217,96 @@ def write_segment(ids: np.ndarray, doc_ids: list[int | None], starts: list[int],
         bits = np.packbits(more, bitorder="little")
         steps = np.concatenate([[0], np.cumsum(np.add.reduceat(more, np.arange(0, len(more), RANK_STEP), dtype=np.int64))]) if len(more) else np.zeros(1, np.int64)
         ranks = steps[: -(-len(more) // RANK_STEP)].astype("<u4")
-        levels.append(struct.pack("<QQ", len(rest), int(steps[-1])) + (rest & (1 << width) - 1).astype(kind).tobytes() + bits.tobytes() + ranks.tobytes())
+        levels.append((len(rest), (rest & (1 << width) - 1).astype(kind).tobytes() + bits.tobytes() + ranks.tobytes()))
         if not steps[-1]:
             break
         rest = rest[more] >> width
-    n = len(doc_ids)
-    head = MAGIC + struct.pack("<IIQQ", width, len(levels), len(ids), n)
-    head += np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + bytes(d is not None for d in doc_ids) + np.array(starts, "<u8").tobytes()
-    return head + b"".join(levels)
+    docs = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + bytes(d is not None for d in doc_ids) + np.array(starts, "<u8").tobytes()
+    first = HEAD.size + 16 * len(levels) + len(docs)
+    places = first + np.cumsum([0, *(len(x) for _, x in levels[:-1])])
+    directory = np.array([(n, p) for (n, _), p in zip(levels, places.tolist(), strict=True)], "<u8").tobytes()
+    head = HEAD.pack(MAGIC, width, len(levels), part, seq, at, len(ids), len(doc_ids))
+    return b"".join([head, directory, docs, *(x for _, x in levels)])
 
 
 class Segment:
-    """Reads a segment; ``segment[i]`` is the id at position i."""
+    """Reads a segment; ``segment[i]`` is the id at position i.
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    ``source`` is the segment's bytes, or a function of (place, n) that gives n
+    bytes of it; only the bytes that an answer needs are asked for.
+    """
+
+    def __init__(self, source: bytes | memoryview | Callable[[int, int], bytes]):
+        if not callable(source):
+            whole = memoryview(source)
+            source = lambda at, n: whole[at : at + n]
+        self.get = source
+        head = self.get(0, HEAD.size)
+        if len(head) < HEAD.size or bytes(head[:8]) != MAGIC:
             raise ValueError("not a segment of token codes")
-        self.width, n_levels, self.tokens, n = struct.unpack_from("<IIQQ", data, 8)
-        at = 32
-
-        def take(kind: str, count: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, kind, count, at)
-            at += out.nbytes
-            return out
-
-        ids, present = take("<i8", n), take("<u1", n)
-        self.doc_ids = [int(i) if p else None for i, p in zip(ids.tolist(), present.tolist(), strict=True)]
-        self.starts = np.append(take("<u8", n), self.tokens).astype(np.int64)
-        self.levels = []
-        for _ in range(n_levels):
-            m, _ones = struct.unpack_from("<QQ", data, at)
-            at += 16
-            self.levels.append((take({8: "<u1", 16: "<u2"}[self.width], m), take("<u1", -(-m // 8)), take("<u4", -(-m // RANK_STEP))))
+        _, self.width, n, self.part, self.seq, self.at, self.tokens, self.n_docs = HEAD.unpack(head)
+        self.levels = self._take("<u8", HEAD.size, 2 * n).reshape(n, 2).astype(np.int64).tolist()
+        self.kind = {8: "<u1", 16: "<u2"}[self.width]
+
+    def _take(self, kind: str, at: int, count: int) -> np.ndarray:
+        return np.frombuffer(self.get(at, count * np.dtype(kind).itemsize), kind, count)
+
+    def documents(self) -> tuple[list[int | None], np.ndarray]:
+        """The doc_ids, and their places among the tokens with the number of tokens behind."""
+        at, n = HEAD.size + 16 * len(self.levels), self.n_docs
+        ids, present, starts = self._take("<i8", at, n), self._take("<u1", at + 8 * n, n), self._take("<u8", at + 9 * n, n)
+        return [int(i) if p else None for i, p in zip(ids.tolist(), present.tolist(), strict=True)], np.append(starts, self.tokens).astype(np.int64)
+
+    def size(self) -> int:
+        """Bytes of the segment."""
+        n, at = self.levels[-1]
+        return at + self.width // 8 * n + -(-n // 8) + 4 * -(-n // RANK_STEP)
 
     def __len__(self) -> int:
         return self.tokens
 
-    def _rank(self, level: int, i: int) -> int:
-        """Set bits before bit i."""
-        _, bits, ranks = self.levels[level]
+    def _bits(self, level: int, a: int, b: int) -> np.ndarray:
+        """Bytes a to b of a level's bitmap."""
+        n, at = self.levels[level]
+        return self._take("<u1", at + self.width // 8 * n + a, b - a)
+
+    def _rank(self, level: int, i: int, bits: np.ndarray | None = None) -> int:
+        """Set bits before bit i; ``bits`` are the bitmap's bytes from its block's first to its own, if they were read."""
+        n, at = self.levels[level]
         block = i // RANK_STEP
-        a, b = block * RANK_STEP // 8, i // 8
-        inside = int(np.bitwise_count(bits[a:b]).sum()) + (int(bits[b]) & (1 << i % 8) - 1).bit_count()
-        return int(ranks[block]) + inside
+        if bits is None:
+            bits = self._bits(level, block * RANK_STEP // 8, min(i // 8 + 1, -(-n // 8)))
+        before, rest = divmod(i % RANK_STEP, 8)
+        inside = int(np.bitwise_count(bits[:before]).sum()) + ((int(bits[before]) & (1 << rest) - 1).bit_count() if rest else 0)
+        if block * RANK_STEP >= n:  # past the last id of a level that ends with a whole block
+            return self.levels[level + 1][0] if level + 1 < len(self.levels) else 0
+        return int(self._take("<u4", at + self.width // 8 * n + -(-n // 8) + 4 * block, 1)[0]) + inside
 
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.tokens:
             raise IndexError(i)
         out, shift = 0, 0
-        for level, (chunks, bits, _) in enumerate(self.levels):
-            out |= int(chunks[i]) << shift
-            if not bits[i // 8] >> i % 8 & 1:
+        for level, (_, at) in enumerate(self.levels):
+            out |= int(self._take(self.kind, at + i * self.width // 8, 1)[0]) << shift
+            bits = self._bits(level, i // RANK_STEP * RANK_STEP // 8, i // 8 + 1)
+            if not bits[-1] >> i % 8 & 1:
                 break
-            i, shift = self._rank(level, i), shift + self.width
+            i, shift = self._rank(level, i, bits), shift + self.width
         return out
 
     def read(self, start: int = 0, stop: int | None = None) -> np.ndarray:
-        """The ids of positions start to stop, without decoding what is before."""
+        """The ids of positions start to stop, without reading what is before or behind."""
         stop = self.tokens if stop is None else min(stop, self.tokens)
         a, b = start, max(start, stop)
         out, where, shift = np.zeros(b - a, np.uint32), None, 0
-        for level, (chunks, bits, _) in enumerate(self.levels):
-            part = chunks[a:b].astype(np.uint32) << np.uint32(shift)
+        for level, (_, at) in enumerate(self.levels):
+            part = self._take(self.kind, at + a * self.width // 8, b - a).astype(np.uint32) << np.uint32(shift)
             if where is None:
                 out |= part
                 where = np.arange(b - a)
             else:
                 out[where] |= part
-            more = np.unpackbits(bits[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)
+            more = np.unpackbits(self._bits(level, a // 8, -(-b // 8)), bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)
             if not more.any():
                 break
             a = self._rank(level, a)
@@ -284,11 +314,11 @@ class Segment:
         return out
 
     def document(self, k: int) -> np.ndarray:
-        return self.read(int(self.starts[k]), int(self.starts[k + 1]))
+        starts = self.documents()[1]
+        return self.read(int(starts[k]), int(starts[k + 1]))
 
 
-_FILE = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int32()), ("segment", pa.binary())])
-_FILE_SQL = "part int, seq int, at bigint, n_tokens bigint, n_docs int, segment binary"
+_FILE = pa.schema([("kind", pa.string()), ("value", pa.binary())])
 _IDLE: dict[tuple[str, int], Encoder] = {}
 _TIMERS: dict[tuple[str, int], threading.Timer] = {}
 
@@ -322,13 +352,17 @@ def _encode(tokenizer: str, end: int, width: int, limit: int, cache: int):
             yield from encoded(batches, enc, TaskContext.get().partitionId())
 
     def encoded(batches: Iterator[pa.RecordBatch], enc: Encoder, part: int) -> Iterator[pa.RecordBatch]:
-        seq = at = 0
+        seq = at = offset = 0
         ids, docs, starts, n = [], [], [], 0
         tail = np.array([end], np.uint32)
 
         def closed() -> pa.RecordBatch:
-            blob = write_segment(np.concatenate(ids), docs, starts, width)
-            return pa.record_batch([pa.array([x], f.type) for x, f in zip((part, seq, at, n, len(docs), blob), _FILE, strict=True)], schema=_FILE)
+            nonlocal offset
+            offset = 0 if seq % FILE_SEGMENTS == 0 else offset
+            blob = write_segment(np.concatenate(ids), docs, starts, width, part, seq, at)
+            line = ",".join(map(str, (part, seq, seq // FILE_SEGMENTS, offset, len(blob), at, n, len(docs))))
+            offset += len(blob) + 1
+            return pa.record_batch([pa.array(["segments", "index"]), pa.array([blob, line.encode()], pa.binary())], schema=_FILE)
 
         for batch in batches:
             for doc, found in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1)), strict=True):
@@ -346,20 +380,127 @@ def _encode(tokenizer: str, end: int, width: int, limit: int, cache: int):
     return tidy(run)
 
 
+@contextmanager
+def two_writers(spark: SparkSession) -> Iterator[None]:
+    """Tasks keep both kinds' files open, so that rows need not be sorted by kind before they are written."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(2, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end: int = END, key: str = "doc_id", text: str = "text", width: int = WIDTH, limit: int = SEGMENT_TOKENS, cache: int = CACHE) -> None:
     """Writes the ids of all texts, each followed by ``end``, in ascending key order.
 
-    Null text is empty (its ids are the end alone); null keys come first; rows
-    that repeat a key are ordered by a hash of the text. An empty table writes
-    no segment. ``tokenizer`` names a file of the public tokenizers;
-    a larger ``cache`` of pieces spends a worker's memory to save its time.
+    Null text is empty (its ids are the end alone), as is an empty one; null
+    keys come first; rows that repeat a key are ordered by a hash of the text,
+    and equal rows each give theirs. A very long text makes a segment of its
+    own size, as segments end with documents. An empty table writes no segment.
+    Columns other than key and text, whatever their names, are not read.
+    ``tokenizer`` names a file of the public tokenizers; a larger ``cache`` of
+    pieces spends a worker's memory to save its time.
     """
     spark = docs.sparkSession
     ship(spark)
-    slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("hash"))
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(f"`{text}`").alias("hash"))
     order = [F.col("key").asc_nulls_first(), F.col("hash")]
     dealt = slim.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("key", "text")
-    dealt.mapInArrow(_encode(tokenizer, end, width, limit, cache), _FILE_SQL).write.options(**{"compression": "zstd", **NO_MARK}).parquet(path)
+    rows = dealt.mapInArrow(_encode(tokenizer, end, width, limit, cache), "kind string, value binary").select("kind", F.col("value").cast("string"))
+    with two_writers(spark):
+        rows.write.partitionBy("kind").options(maxRecordsPerFile=FILE_SEGMENTS, **NO_MARK).text(path)
+
+
+def token_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index of the segments at ``path`` (columns of ``INDEX``)."""
+    try:
+        lines = spark.read.schema("value string").text(f"{path}/kind=index")
+    except AnalysisException:  # no segment was written
+        return spark.createDataFrame([], INDEX)
+    return lines.select(F.from_csv("value", F.lit(INDEX)).alias("x")).select("x.*")
+
+
+def part_starts(spark: SparkSession, path: str) -> list[tuple[int, int, int]]:
+    """(part, tokens before it, its tokens) of each part that was written, in order."""
+    sums = token_index(spark, path).groupBy("part").agg(F.sum("n_tokens")).collect()  # one row for each part
+    out, total = [], 0
+    for part, n in sorted(tuple(x) for x in sums):
+        out.append((part, total, n))
+        total += n
+    return out
+
+
+class TokenFiles:
+    """Single tokens of the files at ``path``, read from storage by byte ranges.
+
+    The parts' starts are kept, one number a part; a token's segment is found
+    in its part's index. ``bytes_read`` counts what was asked for of segments.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.bytes_read = spark, path.rstrip("/"), 0
+        self.parts = part_starts(spark, path)
+        self.starts = [start for _, start, _ in self.parts]
+        self.tokens = self.parts[-1][1] + self.parts[-1][2] if self.parts else 0
+        self.names: dict[tuple[str, int, int], str] = {}
+        for kind in ("segments", "index") if self.parts else ():
+            p, fs = self._fs(f"{self.path}/kind={kind}")
+            for status in fs.listStatus(p):
+                if m := re.match(r"part-(\d+)-.*\.c(\d+)\.", name := status.getPath().getName()):
+                    self.names[kind, int(m[1]), int(m[2])] = f"{self.path}/kind={kind}/{name}"
+        self.index: dict[int, list[tuple[int, ...]]] = {}
+
+    def _fs(self, path: str):
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
+
+    def _range(self, path: str, at: int, n: int | None = None) -> bytes:
+        p, fs = self._fs(path)
+        stream = fs.open(p)
+        try:
+            stream.seek(at)
+            io = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+            return bytes(io.toByteArray(stream) if n is None else io.toByteArray(stream, n))
+        finally:
+            stream.close()
+
+    def _segments(self, part: int) -> list[tuple[int, ...]]:
+        """The index lines of a part, in order."""
+        if part not in self.index:
+            files = sorted(k for k in self.names if k[:2] == ("index", part))
+            lines = b"".join(self._range(self.names[k], 0) for k in files).decode().split()
+            self.index[part] = sorted(tuple(map(int, x.split(","))) for x in lines)
+        return self.index[part]
+
+    def locate(self, i: int) -> tuple[Segment, int]:
+        """The segment that holds token i, and the token's place in it."""
+        if not 0 <= i < self.tokens:
+            raise IndexError(i)
+        part, start, _ = self.parts[bisect.bisect_right(self.starts, i) - 1]
+        lines = self._segments(part)
+        _, _, file, offset, _, at, _, _ = lines[bisect.bisect_right([x[5] for x in lines], i - start) - 1]
+
+        def get(place: int, n: int) -> bytes:
+            self.bytes_read += n
+            return self._range(self.names["segments", part, file], offset + place, n) if n else b""
+
+        return Segment(get), i - start - at
+
+    def token(self, i: int) -> int:
+        segment, place = self.locate(i)
+        return segment[place]
+
+    def read(self, start: int, stop: int) -> np.ndarray:
+        """The ids of positions start to stop."""
+        out = [np.zeros(0, np.uint32)]
+        while start < min(stop, self.tokens):
+            segment, place = self.locate(start)
+            out.append(segment.read(place, place + stop - start))
+            start += len(out[-1])
+        return np.concatenate(out)
 
 
 _ROWS = pa.schema([("id", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -367,26 +508,28 @@ _ROWS_SQL = "id bigint, part int, at bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole files to a row for each document."""
     for batch in batches:
-        for part, at, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            s = Segment(blob)
-            ids, edges = s.read().astype("<u4"), s.starts.tolist()
-            crc = [zlib.crc32(ids[a:b].data) for a, b in zip(edges, edges[1:], strict=False)]
-            n = np.diff(s.starts)
-            yield pa.record_batch([pa.array(s.doc_ids, pa.int64()), pa.array([part] * len(crc), pa.int32()), pa.array(s.starts[:-1] + at), pa.array(n), pa.array(crc, pa.int64())], schema=_ROWS)
+        for file in batch.column(0):
+            data, place = memoryview(file.as_buffer()), 0
+            while place < len(data):
+                s = Segment(data[place:])
+                place += s.size() + 1
+                ids, (names, starts) = s.read().astype("<u4"), s.documents()
+                edges = starts.tolist()
+                crc = [zlib.crc32(ids[a:b].data) for a, b in zip(edges, edges[1:], strict=False)]
+                yield pa.record_batch([pa.array(names, pa.int64()), pa.array([s.part] * len(crc), pa.int32()), pa.array(starts[:-1] + s.at), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], schema=_ROWS)
 
 
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """One row per document of the files at ``path``: key, start, n_tokens, ids_crc32."""
     ship(spark)
-    files = spark.read.schema(_FILE_SQL).parquet(path)
-    sums = files.groupBy("part").agg(F.sum("n_tokens")).collect()  # one row for each part that was written
-    bases, total = [], 0
-    for part, n in sorted(tuple(x) for x in sums):
-        bases.append((part, total))
-        total += n
-    base = F.broadcast(spark.createDataFrame(bases, "part int, base bigint"))
-    rows = files.select("part", "at", "segment").mapInArrow(tidy(_decode), _ROWS_SQL)
+    parts = part_starts(spark, path)
+    base = F.broadcast(spark.createDataFrame([x[:2] for x in parts], "part int, base bigint"))
+    if not parts:
+        rows = spark.createDataFrame([], _ROWS_SQL)
+    else:
+        rows = spark.read.format("binaryFile").load(f"{path}/kind=segments").select("content").mapInArrow(tidy(_decode), _ROWS_SQL)
     return rows.join(base, "part").select(F.col("id").alias(key), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
