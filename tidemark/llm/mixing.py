@@ -2,17 +2,21 @@
 
 Each source has a target number of words (see :func:`source_targets`). A
 document takes ``floor(target / source size)`` certain whole copies; what is
-left of the target is filled by an order sample: a document with inclusion
-odds ``l / (1 - l)`` gets the rank ``q = odds(u) / odds(l)`` from its own
-random number ``u``, and the documents of the smallest ranks are taken until
-their words come nearest to what is left. ``u`` is a hash of doc_id and the
-seed, so reruns agree wherever and in whatever order rows are read.
+left of the target is filled by an order sample with unequal probabilities, in
+proportion to the documents' words: a document of s words has the inclusion
+probability ``l = min(1, rate * s)``, and the source's rate is such that the
+words expected are those left (:func:`inclusion_rates`). It gets the rank
+``q = odds(u) / odds(l)`` from its own random number ``u``, and the documents
+of the smallest ranks are taken until their words come nearest to what is
+left. ``u`` is a hash of doc_id and the seed, so reruns agree wherever and in
+whatever order rows are read.
 
 Scale: the running sum of words by rank is not one sort per source. Ranks are
 cut into buckets of equal width; words by (source, bucket) are pre-aggregated
 on the map side, the running sum over buckets finds the one bucket per source
 that holds the cut, and only its documents are sorted. A hot source thus costs
-no more per task than any other.
+no more per task than any other. Rates come from counts by (source, size),
+combined on the map side: a row for each length that a source's texts have.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ SEED = "mix-1"
 #: Documents that the bucket of a cut holds on average, and the most rows of a broadcast table of sources.
 ROWS_PER_BUCKET = 20_000
 BROADCAST_SOURCES = 100_000
+#: The rank of a document that has no chance.
+NEVER = 1e6
 
 
 def word_count(text: Column) -> Column:
@@ -68,36 +74,66 @@ def random_number(doc_id: Column, seed: str) -> Column:
     return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target and copies (0 to ``most``) of every row of ``docs``.
+def inclusion_rates(slim: DataFrame, info: DataFrame) -> DataFrame:
+    """(rate_of, rate): of each source with words left, the rate at which ``min(1, rate * size)``,
+    times size and summed over its documents, gives the words left.
 
-    Needs doc_id, source and text. Null text has size 0; null is a source of
-    its own, after all others. Rows that repeat a doc_id share its random
-    number and are ordered by size. Documents without words count as taken or
-    not by rank, which adds no words. An empty table gives no rows.
+    The longest documents may be certain; the rest share what those leave. Of
+    the sizes in descending order, the first that stays below 1 tells how many
+    are certain. Sums of squares are decimals, so exact in any order.
     """
-    slim = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    by_size = slim.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    rows = by_size.join(info.filter("left > 0").select("of", "left"), F.col("source").eqNullSafe(F.col("of")))
+    words, squares = F.col("n") * F.col("size"), (F.col("n") * F.col("size")).cast("decimal(19,0)") * F.col("size").cast("decimal(18,0)")
+    longer = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("squares", squares.cast("decimal(28,0)"))
+    rows = rows.withColumn("above", F.coalesce(F.sum(words).over(longer), F.lit(0)))
+    rest = F.sum("squares").over(Window.partitionBy("source")) - F.coalesce(F.sum("squares").over(longer), F.lit(0).cast("decimal(28,0)"))
+    rows = rows.withColumn("rate", (F.col("left") - F.col("above").cast("double")) / rest.cast("double"))
+    return rows.filter(F.col("rate") * F.col("size") <= 1).groupBy(F.col("source").alias("rate_of")).agg(F.max_by("rate", "size").alias("rate"))
+
+
+def mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies (0 to ``most``) of every row of ``docs``.
+
+    Needs doc_id, source and text; other columns, whatever their names, are not
+    read, but those of ``carry`` come along as the struct ``row``, without a join. Null and empty
+    text has size 0; null is a source of its own, after all others. Rows that
+    repeat a doc_id share its random number; equal ranks are ordered by doc_id
+    and size. Documents without words are never taken beyond the certain
+    copies. A document longer than what is left of its source's target is
+    taken if its words come nearer to it than none. An empty table gives no rows.
+    """
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
+    slim = scratch.save(sized.drop("row"))
     by_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     sizes = scratch.save(by_source.coalesce(-(-partitions(slim.sparkSession) // 32)))
     n_sources, n_rows = sizes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
     small = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda df: df)
     buckets = max(256, n_rows // ROWS_PER_BUCKET)
     parts = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    info = scratch.save(
+    targets = (
         source_targets(sizes.drop("rows"), weights, share, most)
         .withColumn("base", F.floor(parts))
-        .withColumn("odds", F.try_divide(parts - F.col("base"), F.lit(1.0) - (parts - F.col("base"))))
         .withColumn("left", F.col("target") - (F.col("base") * F.col("source_size")).cast("double"))
-        .select(F.col("source").alias("of"), "source_size", "target", "base", "odds", "left"),
-        n_sources,
-    )
-    u = random_number(F.col("doc_id"), seed)
-    ranked = (
-        slim.join(small(info), F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("q", F.try_divide(u / (F.lit(1.0) - u), F.col("odds")))
-        .withColumn("bucket", F.least(F.floor(F.coalesce("q", F.lit(1e6)) * buckets), F.lit(4 * buckets)))
+        .select(F.col("source").alias("of"), "source_size", "target", "base", "left")
     )
-    words = ranked.filter("odds > 0").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+    targets = scratch.save(targets, n_sources)
+    rates = inclusion_rates(slim, small(targets))
+    info = scratch.save(targets.join(small(rates), F.col("of").eqNullSafe(F.col("rate_of")), "left").drop("rate_of"), n_sources)
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        u = random_number(F.col("doc_id"), seed)
+        chance = F.when(F.col("size") > 0, F.least(F.lit(1.0), F.coalesce(F.col("rate") * F.col("size"), F.lit(1.0)))).otherwise(0.0)
+        return (
+            rows.join(small(info), F.col("source").eqNullSafe(F.col("of")))
+            .withColumn("u", u)
+            .withColumn("chance", chance)
+            .withColumn("q", F.coalesce(F.try_divide(F.col("u") * (F.lit(1.0) - F.col("chance")), (F.lit(1.0) - F.col("u")) * F.col("chance")), F.lit(NEVER)))
+            .withColumn("bucket", F.least(F.floor(F.col("q") * buckets), F.lit(4 * buckets)))
+        )
+
+    words = ranked(slim).filter("left > 0").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = (
         words.withColumn("after", F.sum("words").over(upto))
@@ -107,11 +143,11 @@ def mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE
         .select(F.col("source").alias("cut_of"), F.col("cut.bucket").alias("cut"), F.col("cut.before").alias("before"))
     )
     cut = scratch.save(cut, n_sources)
-    placed = ranked.join(small(cut), F.col("source").eqNullSafe(F.col("cut_of")), "left")
-    out = ["doc_id", "source", "size", "source_size", "target"]
+    placed = ranked(sized if carry else slim).join(small(cut), F.col("source").eqNullSafe(F.col("cut_of")), "left")
+    out = ["doc_id", "source", "size", "source_size", "target", *(["row"] if carry else [])]
     # Without a cut every document of the source fits into what is left.
-    inside = F.when(F.coalesce(F.col("odds"), F.lit(0.0)) <= 0, 0).when(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")), 1).otherwise(0)
-    at_cut = (F.col("odds") > 0) & (F.col("bucket") == F.col("cut"))
+    inside = F.when((F.col("left") <= 0) | (F.col("size") == 0), 0).when(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")), 1).otherwise(0)
+    at_cut = (F.col("left") > 0) & (F.col("size") > 0) & (F.col("bucket") == F.col("cut"))
     clear = placed.filter(~F.coalesce(at_cut, F.lit(False))).select(*out, (F.col("base") + inside).alias("copies"))
     by_rank = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto_doc = F.col("before") + F.sum("size").over(by_rank)
@@ -120,6 +156,12 @@ def mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE
     return clear.unionByName(near)
 
 
+def mixed(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
+    """Every row of ``docs`` as often as the mix takes it; columns stay. Rows are repeated as they pass, without a join."""
+    rows = mix(docs, scratch, carry=tuple(docs.columns), **how).filter("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mix(docs, Scratch(spark, "op8")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
@@ -148,18 +190,27 @@ targets AS (
 parts AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE target / source_size::DOUBLE END AS part FROM targets),
 plan AS (
-  SELECT *, floor(part)::BIGINT AS base, (part - floor(part)) / (1.0::DOUBLE - (part - floor(part))) AS odds,
-    target - (floor(part)::BIGINT * source_size)::DOUBLE AS left_over FROM parts),
+  SELECT *, floor(part)::BIGINT AS base, target - (floor(part)::BIGINT * source_size)::DOUBLE AS left_over FROM parts),
+by_size AS (
+  SELECT s.source, s.size, p.left_over, count(*)::HUGEINT * s.size AS words, count(*)::HUGEINT * s.size * s.size AS squares
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source WHERE s.size > 0 AND p.left_over > 0 GROUP BY s.source, s.size, p.left_over),
+shares AS (
+  SELECT source, size, (left_over - coalesce(sum(words) OVER longer, 0)::DOUBLE)
+    / ((sum(squares) OVER (PARTITION BY source)) - coalesce(sum(squares) OVER longer, 0))::DOUBLE AS rate
+  FROM by_size WINDOW longer AS (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rates AS (SELECT source, arg_max(rate, size) AS rate FROM shares WHERE rate * size <= 1 GROUP BY source),
+chances AS (
+  SELECT s.doc_id, s.source, s.size, p.source_size, p.target, p.base, p.left_over,
+    (('0x' || substr(md5('mix-1:' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
+    CASE WHEN s.size > 0 THEN least(1.0::DOUBLE, coalesce(r.rate * s.size, 1.0::DOUBLE)) ELSE 0.0::DOUBLE END AS chance
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN rates r ON s.source IS NOT DISTINCT FROM r.source),
 ranked AS (
-  SELECT s.doc_id, s.source, s.size, p.source_size, p.target, p.base, p.odds, p.left_over,
-    (u / (1.0::DOUBLE - u)) / p.odds AS q
-  FROM (SELECT *, (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM sized) s
-  JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+  SELECT *, CASE WHEN chance > 0 THEN (u * (1.0::DOUBLE - chance)) / ((1.0::DOUBLE - u) * chance) ELSE 1e6::DOUBLE END AS q FROM chances),
 running AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked),
 mixed AS (
   SELECT doc_id, source, size, source_size, target,
-    base + CASE WHEN odds > 0 AND 2 * upto - size <= 2 * left_over THEN 1 ELSE 0 END AS copies FROM running)
+    base + CASE WHEN left_over > 0 AND size > 0 AND 2 * upto - size <= 2 * left_over THEN 1 ELSE 0 END AS copies FROM running)
 """
 
 ORACLE = "WITH " + MIX_SQL.format(docs="documents") + "SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed"
