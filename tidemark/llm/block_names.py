@@ -8,7 +8,7 @@ name if and only if they are identical byte for byte.
 Scale: block contents are shuffled once, as name buckets sorted by content.
 Each Arrow batch first merges its own equal texts and equal blocks, so a group
 of copies that holds a third of all rows reaches a name bucket at most once a
-batch. Pairs are made distinct (combined on the map side) before they are
+batch, as three numbers; the ids of its rows go elsewhere, spread by batch. Pairs are made distinct (combined on the map side) before they are
 sorted and named, and joined back by a join whose skewed side Spark can split.
 A level handles only texts that still have several names, half as many as the
 level before; a text of b blocks takes ceil(log2 b) levels.
@@ -30,16 +30,14 @@ BLOCK = 4096
 #: Name buckets for each shuffle partition: more make smaller sorts.
 BUCKETS = 64
 
-_OCC = pa.list_(
-    pa.struct([("rep", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("members", pa.list_(pa.int64())), ("sha", pa.string())])
-)
-_BLOCKS = pa.schema([("block", pa.binary()), ("occ", _OCC)])
-_BLOCKS_SQL = "block binary, occ array<struct<rep:bigint,pos:int,n:int,members:array<bigint>,sha:string>>"
+_OCC = pa.list_(pa.struct([("rep", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())]))
+_BLOCKS = pa.schema([("block", pa.binary()), ("occ", _OCC), ("rep", pa.int64()), ("members", pa.list_(pa.int64())), ("sha", pa.string())])
+_BLOCKS_SQL = "block binary, occ array<struct<rep:bigint,pos:int,n:int>>, rep bigint, members array<bigint>, sha string"
 
 
 def _cut(size: int):
-    """Batches of (id, content) to blocks with where they occur. A representative
-    stands for the equal texts of one batch; its first block carries their ids."""
+    """Batches of (id, content) to rows of two kinds: blocks with where they occur, and, with a null
+    block, representatives. One stands for the equal texts of a batch and has their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rep = TaskContext.get().partitionId() << 36
@@ -48,25 +46,27 @@ def _cut(size: int):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 texts.setdefault(text or b"", []).append(i)
             found: dict[bytes, list] = {}
-            for text, members in texts.items():
+            reps, shas = range(rep, rep + len(texts)), []
+            for rep, text in zip(reps, texts, strict=True):  # noqa: PLW2901
                 n = max(1, -(-len(text) // size))
+                shas.append(hashlib.sha256(text).hexdigest())
                 for pos in range(n):
-                    occ = {"rep": rep, "pos": pos, "n": n}
-                    if not pos:
-                        occ |= {"members": members, "sha": hashlib.sha256(text).hexdigest()}
-                    found.setdefault(text[pos * size : (pos + 1) * size], []).append(occ)
-                rep += 1
-            yield pa.record_batch([pa.array(found, pa.binary()), pa.array(found.values(), _OCC)], schema=_BLOCKS)
+                    found.setdefault(text[pos * size : (pos + 1) * size], []).append({"rep": rep, "pos": pos, "n": n})
+            rep = reps.stop
+            f, r = len(found), len(reps)
+            columns = [[*found, *[None] * r], [*found.values(), *[None] * r], [None] * f + [*reps], [*[None] * f, *texts.values()], [None] * f + shas]
+            yield pa.record_batch([pa.array(c, x.type) for c, x in zip(columns, _BLOCKS, strict=True)], schema=_BLOCKS)
 
     return tidy(run)
 
 
-def _named(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
+def _named(df: DataFrame, by: list[str], buckets: int, deal: list[str] | None = None) -> DataFrame:
     """``df`` with a column ``name``: equal values of ``by`` have equal names, others never.
 
     Buckets deal the values out; within one, values are sorted and numbered.
+    ``deal``, further columns to deal by, must be null wherever ``by`` counts.
     """
-    bucket = F.pmod(F.xxhash64(*by), F.lit(buckets))
+    bucket = F.pmod(F.xxhash64(*by, *(deal or [])), F.lit(buckets))
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy(*by))
     return df.withColumn("bucket", bucket).withColumn("name", F.col("bucket") + F.lit(buckets) * rank).drop("bucket")
 
@@ -80,10 +80,11 @@ def identities(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
     spark = docs.sparkSession
     ship(spark)
     buckets = BUCKETS * partitions(spark)
-    blocks = docs.select(F.col(key).cast("long"), F.col(text).cast("binary")).mapInArrow(_cut(block), _BLOCKS_SQL)
-    names = _named(blocks, ["block"], buckets).select(F.explode("occ").alias("o"), "name")
-    first = scratch.save(names.select("o.*", "name"))
-    info = first.filter("pos = 0").select("rep", "members", "sha")
+    blocks = docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("binary")).mapInArrow(_cut(block), _BLOCKS_SQL)
+    # One shuffle for both kinds: blocks by their content, representatives by their number.
+    names = scratch.save(_named(blocks, ["block"], buckets, ["rep"]).select("occ", "rep", "members", "sha", "name"))
+    first = names.filter("occ is not null").select(F.explode("occ").alias("o"), "name").select("o.*", "name")
+    info = names.filter("occ is null").select("rep", "members", "sha")
     done, level = [first.filter("n = 1").select("rep", F.lit(0).alias("level"), "name")], 0
     now = first.filter("n > 1").select("rep", "pos", "n", "name")
     longest, rows = first.agg(F.coalesce(F.max("n"), F.lit(1)), F.count("*")).first()
@@ -111,7 +112,9 @@ def exact_dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: st
 
     Of identical texts the row with the largest key stays; if that key is
     repeated, exactly one of its rows does. Null keys come before all others.
-    Null text counts as empty, and empty texts are equal. No rows give none.
+    Null text counts as empty, and empty texts are equal. A very long text is
+    as many blocks as it takes, never a row of its whole content. Columns other
+    than key and text, whatever their names, are not read. No rows give none.
     """
     reps = scratch.save(identities(docs, scratch, key, text, block))
     rows = reps.select("level", "name", "rep", F.size("members").alias("size"), F.array_max(F.transform("members", lambda m, i: F.struct(m.alias("id"), F.col("rep").alias("rep"), i.alias("i")))).alias("top"))
