@@ -95,11 +95,13 @@ def tidy(run):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in its absence
-    (tests on one machine) a temporary folder that is then set as such."""
+    """The folder all executors share: spark.checkpoint.dir, or in its absence,
+    on a local master only (tests), a temporary folder that is then set as such."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
         folder = getattr(spark.sparkContext, "_tidemark_scratch", None)
         if folder is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             local = tempfile.mkdtemp(prefix="tidemark-shared-")
             atexit.register(shutil.rmtree, local, ignore_errors=True)
             folder = spark.sparkContext._tidemark_scratch = f"file://{local}"
@@ -143,6 +145,11 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """``df``, of ``rows`` counted rows, marked for broadcast if these are ``most`` at most, else as it is."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
