@@ -12,7 +12,7 @@ of the document embeds the window that begins there; sampling a few positions
 of the embedding gives a key, and windows that share a key with an item (of the
 same length class) are candidates. Walks and samples are drawn again, each
 round a table of its own; rounds are as many as the target recall takes for
-the sampled match rate at the largest distance (:func:`rounds_for`).
+items edited to the largest distance (:func:`rounds_for`).
 Long items keep a key less often. A class that takes more than ``MOST_ROUNDS``
 is searched without loss instead: of an item's k + 1 pieces, k edits leave one
 as it is, so each place that holds the first words of a piece is a candidate.
@@ -32,6 +32,7 @@ no care, as no rows meet by key; the final distinct is by (document, item).
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections.abc import Iterator
 
@@ -44,12 +45,14 @@ from pyspark.sql import functions as F
 from .common import ship, table, tidy
 
 SIMILARITY = 0.8
-RECALL = 0.95
+RECALL = 0.97
 #: Items of one pass; positions sampled for a key; ratio of lengths within a class; rounds beyond which a class goes by pieces.
 BLOCK_ITEMS = 20_000
 SAMPLED = 3
 CLASS_RATIO = 1.3
 MOST_ROUNDS = 24
+#: Words before and behind an item's start that its rounds are tried from.
+AROUND = 4
 SEED = 11
 PUNCTUATION = b".,;:!?()[]{}\"'|*#%$&"
 #: Start words embedded at once.
@@ -311,32 +314,37 @@ class Index:
         return out
 
 
-def rounds_for(index: Index, recall: float, trials: int = 200) -> list[int]:
-    """Rounds of each class that reach the recall, by the rate at which items edited to the full distance keep a key.
+def rounds_for(index: Index, recall: float, trials: int = 2000) -> list[int]:
+    """Rounds of each class that reach the recall for items edited to the full distance; MOST_ROUNDS + 1 if more.
 
-    Edits (replaced, left out and put in words) are drawn at random places of
-    random items.
+    Random items of the class are edited (words replaced, left out and put in
+    at random places) and searched for by the very rounds of the index, as in a
+    document, from each of the words about their start; of the share found so
+    far the lower end of its 95 % range counts.
     """
-    rng = np.random.default_rng(index.seed)
-    need = []
+    rng, need = random.Random(index.seed), []
     for c, (lo, hi, steps) in enumerate(index.classes):
-        items = [x for x in index.items if lo <= x.n <= hi]
-        kept = 0
-        tried = 0
-        for t in range(trials):
-            item = items[int(rng.integers(len(items)))]
+        items, about = [x for x in index.items if lo <= x.n <= hi], min(AROUND, allowed(lo, index.similarity))
+        gap, parts = np.zeros(steps + 1, np.int32), []
+        for _ in range(trials):
+            item = rng.choice(items)
             words = item.code.tolist()
             for _ in range(allowed(item.n, index.similarity)):
-                at, kind = int(rng.integers(len(words))), int(rng.integers(3))
+                at, kind = rng.randrange(len(words)), rng.randrange(3)
                 words[at : at + (kind != 2)] = [] if kind == 1 and len(words) > 1 else [0]
-            gap = np.zeros(steps + 1, np.int32)
-            both = np.concatenate([item.code, gap, np.array(words, np.int32), gap])
-            r = t % MOST_ROUNDS
-            pair = index.key(index.walk(c, r, both, np.array([0, item.n + len(gap)]), index.walk_hashes(r, 0, index.names[both]))[1])
-            kept += pair[0] == pair[1]
-            tried += 1
-        rate = max(kept / max(1, tried), 0.02)
-        need.append(max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(rate, 1 - 1e-9)))))
+            parts += [np.concatenate([item.code, gap]), np.array([0] * about + [*words, *gap], np.int32)]
+        words, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
+        begins, raw, missed = np.cumsum(sizes) - sizes, index.names[words], np.ones(trials, bool)
+        starts = np.concatenate([begins[0::2], (begins[1::2] + np.arange(2 * about + 1)[:, None]).ravel()])
+        for r in range(MOST_ROUNDS):
+            keys = index.key(index.walk(c, r, words, starts, index.walk_hashes(r, 0, raw))[1]).reshape(-1, trials)
+            missed &= (keys[1:] != keys[0]).all(0)
+            share = 1 - missed.mean()
+            if share - 1.96 * math.sqrt(share * (1 - share) / trials) >= recall:
+                break
+        else:
+            r = MOST_ROUNDS
+        need.append(r + 1)
     return need
 
 
