@@ -34,7 +34,7 @@ class Chain:
     def fold(self, e: np.ndarray) -> np.ndarray:
         """Weights (n, K) by step and block: (STEPS, blocks, K)."""
         pad = self.blocks * STEPS - self.n
-        whole = np.concatenate([e, np.ones((pad, e.shape[1]))]).reshape(self.blocks, STEPS, -1)
+        whole = np.concatenate([e, np.ones((pad, e.shape[1]), e.dtype)]).reshape(self.blocks, STEPS, -1)
         return np.ascontiguousarray(whole.transpose(1, 0, 2))
 
     def tokens(self, x: np.ndarray) -> np.ndarray:
@@ -53,24 +53,26 @@ def _step(v: np.ndarray, trans: np.ndarray, initial: np.ndarray, starts: np.ndar
 def forward(chain: Chain, e: np.ndarray, initial: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scaled forward vectors (STEPS, blocks, K), scales (STEPS, blocks), block matrices.
 
-    ``e`` are the folded emission weights. The product of the scales from a
-    document's first to its last token is its likelihood.
+    ``e`` are the folded emission weights; all is computed in their precision.
+    The product of the scales from a document's first to its last token is its
+    likelihood.
     """
     k = len(initial)
-    m = np.broadcast_to(np.eye(k), (chain.blocks, k, k)).copy()
+    initial, trans = initial.astype(e.dtype), trans.astype(e.dtype)
+    m = np.broadcast_to(np.eye(k, dtype=e.dtype), (chain.blocks, k, k)).copy()
     for t in range(STEPS):
         m = _step(m, trans, initial, chain.starts[t])
         m *= e[t, :, None, :]
-        if t % 8 == 7:
+        if t % 4 == 3:
             m /= m.sum((1, 2), keepdims=True)
-    enter = np.empty((chain.blocks, k))
+    enter = np.empty((chain.blocks, k), e.dtype)
     v = initial
     for b in range(chain.blocks):
         enter[b] = v
         v = v @ m[b]
         v = v / v.sum()
-    alpha, scale = np.empty((STEPS, chain.blocks, k)), np.empty((STEPS, chain.blocks))
-    v, one = enter, np.ones(k)
+    alpha, scale = np.empty((STEPS, chain.blocks, k), e.dtype), np.empty((STEPS, chain.blocks), e.dtype)
+    v, one = enter, np.ones(k, e.dtype)
     for t in range(STEPS):
         v = _step(v, trans, initial, chain.starts[t])
         v *= e[t]
@@ -85,16 +87,17 @@ def marginals(chain: Chain, e: np.ndarray, initial: np.ndarray, trans: np.ndarra
 
     ``weight``, if given, is what the transition into each token counts."""
     f = chain.fold(e)
+    initial, trans = initial.astype(e.dtype), trans.astype(e.dtype)
     alpha, scale, m = forward(chain, f, initial, trans)
     k = len(initial)
-    leave = np.empty((chain.blocks, k))
-    v = np.ones(k)
+    leave = np.empty((chain.blocks, k), e.dtype)
+    v = np.ones(k, e.dtype)
     for b in range(chain.blocks - 1, -1, -1):
         leave[b] = v
         v = m[b] @ v
         v = v / v.sum()
     beta = np.empty_like(alpha)
-    v, one = leave, np.ones(k)
+    v, one = leave, np.ones(k, e.dtype)
     back = np.ascontiguousarray(trans.T)
     for t in range(STEPS - 1, -1, -1):
         beta[t] = v
@@ -109,7 +112,7 @@ def marginals(chain: Chain, e: np.ndarray, initial: np.ndarray, trans: np.ndarra
     gamma /= (gamma @ one)[:, None]
     # xi(t) = alpha(t-1) x trans x (e beta)(t), made to sum to one; none into a first token
     total = ((a @ trans) * after) @ one
-    share = np.where(chain.first.reshape(-1)[1 : chain.n], 0, 1 / np.where(total > 0, total, 1))
+    share = np.where(chain.first.reshape(-1)[1 : chain.n], 0, 1 / np.where(total > 0, total, 1)).astype(e.dtype)
     share = share if weight is None else share * weight[1:]
     moves = (a.T @ (after * share[:, None])) * trans
     return gamma, moves, chain.tokens(scale)

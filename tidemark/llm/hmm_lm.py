@@ -11,14 +11,16 @@ the unseen word, the outcomes the add-0.1 base has too.
 
 Training covers every training document: one map-side-combined count of all
 words, then full Baum-Welch iterations whose expected counts are summed over
-partitions. The state table is bounded (types x states, whatever the input), so
-it travels by closure; the vocabulary is not, and stays a distributed table with
-a row for each word and chunk. Only the start of the iterations, which
-must break symmetry, comes from a bounded sample (``warm_tokens``).
+partitions, until an iteration's model gains less than ``GAIN`` of log
+likelihood per token. The state table is bounded (types x states, whatever the
+input), so it travels by closure; the vocabulary is not, and stays a
+distributed table. Only the start of the iterations, which must break symmetry,
+comes from a bounded sample of whole documents (``WARM_TOKENS``).
 
-Chunks: a worker codes about 8 MB of text at a time against the chunk's own
+Chunks: a worker codes about 16 MB of text at a time against the chunk's own
 words. So texts are read once; a frequent word meets the vocabulary once a
-chunk, not once a document; and no group of rows depends on a key of the data.
+chunk, not once a document, in a join whose skewed keys Spark can split; and no
+group of rows depends on a key of the data.
 
 Forward and backward recursions run over all blocks of 128 tokens at once: the
 product of a block's transition matrices links blocks exactly, so that one very
@@ -30,6 +32,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +50,10 @@ TOP_WORDS = 1 << 16
 CLASSES = 1 << 12
 #: Types: 0 the end, 1..CLASSES the shared ones, then the frequent words; -1 marks a word unseen in training.
 END_TYPE = 0
-WARM_TOKENS, WARM_ITERATIONS, ITERATIONS = 300_000, 20, 2
-CHUNK_BYTES = 8 << 20
+WARM_TOKENS, WARM_ROWS, WARM_ITERATIONS = 300_000, 15_000, 20
+#: Iterations over the corpus go on until the log likelihood per token gains less.
+GAIN = 0.01
+CHUNK_BYTES = 16 << 20
 PRIOR = 0.5
 #: Tokens that one pass of the recursions holds in memory.
 PIECE_TOKENS = 1 << 18
@@ -144,29 +149,59 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed()
 
 
-def _tokens(row: dict) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(row["tokens"]), "<i4")
-
-
-def _documents(row: dict) -> Iterator[tuple[slice, np.ndarray]]:
-    """Runs of a chunk's documents of bounded tokens: which documents, which tokens."""
-    lengths = np.asarray(row["lengths"], np.int64)
-    tokens, ends = _tokens(row), np.cumsum(lengths)
-    a = 0
-    while a < len(lengths):
-        at = int(ends[a] - lengths[a])
-        b = max(a + 1, int(np.searchsorted(ends, at + PIECE_TOKENS, "right")))
-        yield slice(a, b), tokens[at : int(ends[b - 1])]
-        a = b
-
-
-def _trained_documents(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(types, lengths) of a chunk's training documents, in runs."""
-    types, lengths, held = np.asarray(row["types"], np.int64), np.asarray(row["lengths"], np.int64), np.asarray(row["held"], bool)
-    for docs, tokens in _documents(row):
-        n, out = lengths[docs], held[docs]
-        if not out.all():
-            yield types[tokens[np.repeat(~out, n)]], n[~out]
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks with their lexicon, in any order, to chunks with types and counts by place, as bytes."""
+    for batch in batches:
+        types, counts = [], []
+        for lex in batch.column(4):
+            place, kind, c = (x.to_numpy(zero_copy_only=False) for x in lex.values.flatten())
+            order = np.argsort(place)
+            types.append(kind[order].astype("<i4").tobytes())
+            counts.append(c[order].astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(types, pa.binary()), pa.array(counts, pa.binary())], names=_READY)
+
+
+_READY = ["ids", "held", "lengths", "tokens", "types", "counts"]
+_READY_SQL = "ids array<bigint>, held array<boolean>, lengths array<int>, tokens binary, types binary, counts binary"
+
+
+@dataclass
+class Chunk:
+    ids: pa.Array
+    held: np.ndarray
+    lengths: np.ndarray
+    tokens: np.ndarray
+    types: np.ndarray
+    counts: np.ndarray
+
+    def documents(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Runs of documents of bounded tokens: which documents, which tokens."""
+        ends, a = np.cumsum(self.lengths), 0
+        while a < len(ends):
+            at = int(ends[a] - self.lengths[a])
+            b = max(a + 1, int(np.searchsorted(ends, at + PIECE_TOKENS, "right")))
+            yield slice(a, b), self.tokens[at : int(ends[b - 1])]
+            a = b
+
+    def trained(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(types, lengths) of the training documents, in runs."""
+        for docs, tokens in self.documents():
+            n, out = self.lengths[docs], self.held[docs]
+            if not out.all():
+                yield self.types[tokens[np.repeat(~out, n)]], n[~out]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    for batch in batches:
+        for ids, held, lengths, tokens, types, counts in zip(*batch.columns, strict=True):
+            yield Chunk(
+                ids.values,
+                held.values.to_numpy(zero_copy_only=False),
+                lengths.values.to_numpy().astype(np.int64),
+                np.frombuffer(zstandard.decompress(tokens.as_buffer()), "<i4"),
+                np.frombuffer(types.as_buffer(), "<i4").astype(np.int64),
+                np.frombuffer(counts.as_buffer(), "<i8").astype(np.float64),
+            )
 
 
 _COUNTS = pa.schema([("kind", pa.int32()), ("row", pa.int32()), ("n", pa.list_(pa.float64()))])
@@ -174,21 +209,23 @@ _COUNTS_SQL = "kind int, row int, n array<double>"
 
 
 def _expectation(model: Model, n_types: int):
-    """Chunks to Baum-Welch counts of the whole partition: kind 0 initial, 1 transitions, 2 emissions."""
+    """Chunks to Baum-Welch counts of the whole partition: kind 0 initial, 1 transitions, 2 emissions, 3 the log likelihood.
+
+    In single precision: the counts only guide the next model.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(model.initial)
-        start, moves, emitted, any_rows = np.zeros(k), np.zeros((k, k)), np.zeros((n_types, k)), False
-        for batch in batches:
-            for row in batch.to_pylist():
-                for types, lengths in _trained_documents(row):
-                    a, b, c, _ = expected(Chain(firsts(lengths)), types, model.ratio[types], model.initial, model.trans, n_types)
-                    start, moves, emitted, any_rows = start + a, moves + b, emitted + c, True
+        k, ratio = len(model.initial), model.ratio.astype(np.float32)
+        start, moves, emitted, log, any_rows = np.zeros(k), np.zeros((k, k)), np.zeros((n_types, k)), 0.0, False
+        for chunk in _chunks(batches):
+            for types, lengths in chunk.trained():
+                a, b, c, d = expected(Chain(firsts(lengths)), types, ratio[types], model.initial, model.trans, n_types)
+                start, moves, emitted, log, any_rows = start + a, moves + b, emitted + c, log + d, True
         if any_rows:
             used = np.nonzero(emitted.sum(1))[0]
-            kinds = np.concatenate([[0], np.ones(k, np.int32), np.full(len(used), 2)]).astype(np.int32)
-            rows = np.concatenate([[0], np.arange(k), used]).astype(np.int32)
-            values = np.concatenate([start[None], moves, emitted[used]])
+            kinds = np.concatenate([[0, 3], np.ones(k, np.int32), np.full(len(used), 2)]).astype(np.int32)
+            rows = np.concatenate([[0, 0], np.arange(k), used]).astype(np.int32)
+            values = np.concatenate([start[None], np.full((1, k), log), moves, emitted[used]])
             yield pa.record_batch([pa.array(kinds), pa.array(rows), pa.array(list(values), pa.list_(pa.float64()))], schema=_COUNTS)
 
     return tidy(run)
@@ -198,21 +235,21 @@ _SAMPLE = pa.schema([("key", pa.int64()), ("types", pa.binary())])
 
 
 def _sample(limit: int):
-    """Types of the training documents whose hashed id is below a limit, for the warm start."""
+    """Types of the training documents whose hashed id is below a limit, for the warm start.
+
+    A document that is longer than the whole sample can't be part of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                types, tokens = np.asarray(row["types"], np.int32), _tokens(row)
-                ends = np.cumsum(row["lengths"])
-                keys, out = [], []
-                for i, h, n, end in zip(row["ids"], row["held"], row["lengths"], ends.tolist(), strict=True):
-                    key = zlib.crc32(b"warm %d" % (i or 0))
-                    if not h and key < limit:
-                        keys.append(key)
-                        out.append(types[tokens[end - n : end][:WARM_TOKENS]].astype("<i4").tobytes())
-                if keys:
-                    yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], schema=_SAMPLE)
+        for chunk in _chunks(batches):
+            ends, keys, out = np.cumsum(chunk.lengths), [], []
+            for i, h, n, end in zip(chunk.ids.to_pylist(), chunk.held.tolist(), chunk.lengths.tolist(), ends.tolist(), strict=True):
+                key = zlib.crc32(b"warm %d" % (i or 0))
+                if not h and key < limit and n <= WARM_TOKENS:
+                    keys.append(key)
+                    out.append(chunk.types[chunk.tokens[end - n : end]].astype("<i4").tobytes())
+            if keys:
+                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], schema=_SAMPLE)
 
     return tidy(run)
 
@@ -223,23 +260,21 @@ _SCORES_SQL = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, bas
 
 def _score(model: Model, n: int, v: int, unseen: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                types, counts = np.asarray(row["types"], np.int64), np.asarray(row["counts"], np.float64)
-                base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
-                known = counts > 0
-                own = np.where(known, np.log10(np.maximum((1 - unseen) * counts / max(1, n), 1e-300)), np.log10(unseen))
-                weight = np.where(known[:, None], model.ratio[types], 1.0)
-                lengths = np.asarray(row["lengths"], np.int64)
-                out = []
-                for docs, tokens in _documents(row):
-                    chain = Chain(firsts(lengths[docs]))
-                    _, scale, _ = forward(chain, chain.fold(weight[tokens]), model.initial, model.trans)
-                    at = np.cumsum(lengths[docs]) - lengths[docs]
-                    ratio = np.log10(chain.tokens(scale))
-                    out.append([np.add.reduceat(x, at) for x in (known[tokens].astype(np.int64), base[tokens], own[tokens] + ratio)])
-                parts = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.record_batch([pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(lengths), *map(pa.array, parts)], schema=_SCORES)
+        for chunk in _chunks(batches):
+            types, counts, lengths = chunk.types, chunk.counts, chunk.lengths
+            base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
+            known = counts > 0
+            own = np.where(known, np.log10(np.maximum((1 - unseen) * counts / max(1, n), 1e-300)), np.log10(unseen))
+            weight = np.where(known[:, None], model.ratio[types], 1.0)
+            out = []
+            for docs, tokens in chunk.documents():
+                chain = Chain(firsts(lengths[docs]))
+                _, scale, _ = forward(chain, chain.fold(weight[tokens]), model.initial, model.trans)
+                at = np.cumsum(lengths[docs]) - lengths[docs]
+                ratio = np.log10(chain.tokens(scale))
+                out.append([np.add.reduceat(x, at) for x in (known[tokens].astype(np.int64), base[tokens], own[tokens] + ratio)])
+            parts = [np.concatenate(x) for x in zip(*out, strict=True)]
+            yield pa.record_batch([chunk.ids, pa.array(chunk.held), pa.array(lengths), *map(pa.array, parts)], schema=_SCORES)
 
     return tidy(run)
 
@@ -259,56 +294,67 @@ def _frequent(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.filter(F.col("c") >= least).select("word", own.alias("own"))
 
 
-def score_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", held_out=None, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
+def warm_sample(blobs: list[bytes]) -> list[np.ndarray]:
+    """The types of whole documents, in the order given, as long as they fit into WARM_TOKENS together."""
+    out, total = [], 0
+    for blob in blobs:
+        if total + len(blob) // 4 <= WARM_TOKENS:
+            out.append(np.frombuffer(blob, "<i4").astype(np.int64))
+            total += len(out[-1])
+    return out
+
+
+def trained(ready: DataFrame, model: Model, type_counts: np.ndarray, gain: float = GAIN) -> Model:
+    """Baum-Welch over all training documents, until the log likelihood per token gains less than ``gain``."""
+    states, n_types, before = len(model.initial), len(type_counts), None
+    sums = [F.sum(F.col("n")[j]).alias(f"n{j}") for j in range(states)]
+    while True:
+        initial, moves, emitted, log = np.zeros(states), np.zeros((states, states)), np.zeros((n_types, states)), np.zeros((1, states))
+        for r in ready.mapInArrow(_expectation(model, n_types), _COUNTS_SQL).groupBy("kind", "row").agg(*sums).collect():  # n_types rows and a few
+            (initial[None], moves, emitted, log)[r[0]][r[1]] = r[2:]
+        now = log[0, 0] / max(1.0, type_counts.sum())
+        model = Model.fitted(initial, moves, emitted, type_counts)
+        if before is not None and now - before < gain:
+            return model
+        before = now
+
+
+def score_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", held_out=None, states: int = STATES, gain: float = GAIN) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     ``held_out`` is a boolean column of ``docs`` (default: crc32 of the key's
     text modulo 10 is 0); the model learns from the other rows. Null text is
-    empty: its only token is the end. Repeated rows count and are scored each.
+    empty, and of an empty text the only token is the end. A very long text is
+    one chain, computed in blocks. Repeated rows count and are scored each.
+    Columns other than key and text, whatever their names, are not read.
     Without training rows every token is unknown and the model has u = 1. An
     empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     held_out = crc_mod(key, HELD_OUT) == 0 if held_out is None else held_out
-    chunks = scratch.save(docs.select(F.col(key).cast("long"), held_out, F.col(text).cast("binary")).mapInArrow(tidy(_code), _CHUNK_SQL))
+    chunks = scratch.save(docs.select(F.col(f"`{key}`").cast("long"), held_out, F.col(f"`{text}`").cast("binary")).mapInArrow(tidy(_code), _CHUNK_SQL))
     words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "seen")).alias("place", "w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.seen").alias("seen"))
-    # A row per word and chunk, with the word's count over all training rows; the first row of a word stands for it.
-    of = Window.partitionBy("word")
-    first = F.row_number().over(of.orderBy("chunk")) == 1
-    lexicon = scratch.save(words.withColumn("c", F.sum("seen").over(of)).withColumn("first", first).drop("seen"))
-    vocabulary = lexicon.filter("first")
-    n, v, once = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
+    # Counts over all training rows, a row for each word of any row.
+    counted = scratch.save(words.groupBy("word").agg(F.sum("seen").alias("c")))
+    n, v, once = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
     unseen = (once + 1) / (n + 1)
-    top = scratch.save(_frequent(vocabulary.filter((F.col("word") != b"") & (F.col("c") > 1))), TOP_WORDS)
+    top = scratch.save(_frequent(counted.filter((F.col("word") != b"") & (F.col("c") > 1))), TOP_WORDS)
     shared = F.crc32(F.concat(F.substring("word", 1, 1), F.lit(b"\0"), F.expr("substring(word, greatest(length(word) - 1, 1), 2)"))) % CLASSES + 1
     kind = F.when(F.col("c") == 0, -1).when(F.col("word") == b"", END_TYPE).otherwise(F.coalesce(F.col("own").cast("long"), shared)).cast("int")
-    typed = lexicon.join(F.broadcast(top), "word", "left").select("chunk", "place", "c", "first", kind.alias("type"))
+    vocabulary = counted.join(F.broadcast(top), "word", "left").select("word", "c", kind.alias("type"))
     n_types = 1 + CLASSES + TOP_WORDS
     type_counts = np.zeros(n_types)
-    for t, c in typed.filter("first and type >= 0").groupBy("type").agg(F.sum("c")).collect():  # n_types rows at most
+    for t, c in vocabulary.filter("type >= 0").groupBy("type").agg(F.sum("c")).collect():  # n_types rows at most
         type_counts[t] = c
-    looked = typed.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "type", "c"))).alias("lex"))
-    ready = scratch.save(
-        chunks.drop("words", "seen")
-        .join(looked, "chunk")
-        .select("ids", "held", "lengths", "tokens", F.transform("lex", lambda x: x["type"]).alias("types"), F.transform("lex", lambda x: x["c"]).alias("counts"))
-    )
-    scratch.drop(chunks, lexicon)
+    looked = words.drop("seen").join(vocabulary, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "type", "c")).alias("lex"))
+    ready = scratch.save(chunks.join(looked, "chunk").select("ids", "held", "lengths", "tokens", "lex").mapInArrow(tidy(_pack), _READY_SQL))
+    scratch.drop(chunks, counted)
     limit = min(1.0, 2 * WARM_TOKENS / max(1, n)) * 2**32
-    picked = ready.mapInArrow(_sample(int(limit)), "key bigint, types binary").orderBy("key", "types").limit(WARM_TOKENS // 20).collect()
-    sample, total = [], 0
-    for _, blob in picked:
-        if total < WARM_TOKENS:
-            sample.append(np.frombuffer(blob, "<i4").astype(np.int64)[: WARM_TOKENS - total])
-            total += len(sample[-1])
+    picked = ready.mapInArrow(_sample(int(limit)), "key bigint, types binary").orderBy("key", "types").limit(WARM_ROWS).collect()
+    sample = warm_sample([bytes(r[1]) for r in picked])
     model = train_local(np.concatenate(sample) if sample else np.zeros(0, np.int64), np.array([len(x) for x in sample], np.int64), type_counts, states, WARM_ITERATIONS)
-    for _ in range(iterations if n else 0):
-        sums = [F.sum(F.col("n")[j]).alias(f"n{j}") for j in range(states)]
-        initial, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((n_types, states))
-        for r in ready.mapInArrow(_expectation(model, n_types), _COUNTS_SQL).groupBy("kind", "row").agg(*sums).collect():  # n_types rows and a few
-            (initial[None], moves, emitted)[r[0]][r[1]] = r[2:]
-        model = Model.fitted(initial, moves, emitted, type_counts)
+    model = trained(ready, model, type_counts, gain) if n else model
     out = ready.mapInArrow(_score(model, n, v, unseen), _SCORES_SQL)
     return out.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
