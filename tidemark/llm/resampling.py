@@ -100,22 +100,31 @@ def gumbel(key: Column, seed: str = SEED) -> Column:
     return -F.log(-F.log(u))
 
 
-def top_k(rows: DataFrame, k: int, order: str, tie: str, name: str) -> DataFrame:
+def top_k(rows: DataFrame, k: int, order: str, tie: str, name: str, apart: str | None = None) -> DataFrame:
     """``rows`` (best a written table, it is read several times) with a boolean column ``name``:
     whether the row is among the k of the largest ``order``, ties to the smaller ``tie``, null ties last.
 
-    Rows alike in both are told apart arbitrarily. ``order`` must not be null or NaN.
+    Rows alike in both are told apart by the smaller ``apart``, a unique number of each row; without
+    it arbitrarily, and in one task. ``order`` must not be null or NaN.
     """
+    keyed = rows.withColumn("__tie", F.coalesce(-F.col(tie), F.lit(-(2**63) + 1)))
+    keyed = keyed.withColumn("__apart", -F.col(apart)) if apart else keyed
+    return _largest(keyed, k, [order, "__tie", *(["__apart"] if apart else [])], name).drop("__tie", "__apart")
+
+
+def _largest(rows: DataFrame, k: int, keys: list[str], name: str) -> DataFrame:
+    """Narrows the first key down to the bin that holds the cut; if one value is left, goes on with the next key."""
+    order = keys[0]
     lo, hi, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
     if k <= 0 or n <= k:
         return rows.withColumn(name, F.lit(bool(k > 0)))
     within, rest = F.lit(True), k
     above = F.lit(False)
-    while True:
+    while n > LAST_BIN:
         width = (hi - lo) / BINS
-        if n <= LAST_BIN or not width > 0 or lo + width <= lo:
+        if not width > 0 or lo + width <= lo:
             break
-        bins = F.least(F.floor((F.col(order) - F.lit(lo)) / F.lit(width)), F.lit(BINS - 1)).cast("int")
+        bins = F.least(F.floor((F.col(order).cast("double") - F.lit(float(lo))) / F.lit(width)), F.lit(BINS - 1)).cast("int")
         sums = rows.filter(within).groupBy(bins.alias("bin")).agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).collect()  # BINS rows at most
         for r in sorted(sums, key=lambda r: -r["bin"]):
             if rest <= r["n"]:
@@ -126,8 +135,10 @@ def top_k(rows: DataFrame, k: int, order: str, tie: str, name: str) -> DataFrame
         lo, hi, n = r["lo"], r["hi"], r["n"]
         above = F.col(order) > F.lit(hi)
         within = (F.col(order) >= F.lit(lo)) & (F.col(order) <= F.lit(hi))
-    place = F.row_number().over(Window.orderBy(F.col(order).desc(), F.col(tie).asc_nulls_last()))
-    edge = rows.filter(within).withColumn(name, place <= rest)
+    if n > LAST_BIN and lo == hi and keys[1:]:
+        edge = _largest(rows.filter(within), rest, keys[1:], name)
+    else:
+        edge = rows.filter(within).withColumn(name, F.row_number().over(Window.orderBy(*[F.col(c).desc() for c in keys])) <= rest)
     return rows.filter(~within).withColumn(name, above).unionByName(edge)
 
 
@@ -137,10 +148,12 @@ def importance_sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, keep
     ``keep`` of all rows, rounded down, are kept. Target rows are those whose
     label is positive (SAMPLE_ROWS of smallest hash at most); without any, all
     weights are 0 and the sample is uniform. Null, empty and wordless texts
-    weigh 0. Rows that repeat a key share its noise. No rows give none.
+    weigh 0; very long ones are counted and weighed whole. Rows that repeat a
+    key share its noise; if they tie, some are kept as the cut demands. Columns other
+    than key and text, whatever their names, are not read. No rows give none.
     """
     ship(docs.sparkSession)
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
     good = labels.filter(F.col(label) > 0).select(F.col(key).cast("long").alias("id")).filter("id is not null").distinct()
     target = frozenset(r[0] for r in good.orderBy(F.crc32(F.col("id").cast("string").cast("binary")), "id").limit(SAMPLE_ROWS).collect())
     counts = slim.mapInArrow(_count(target), "bucket int, target bigint, raw bigint").groupBy("bucket").agg(F.sum("target"), F.sum("raw"))
@@ -150,8 +163,8 @@ def importance_sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, keep
     p = (total + SMOOTHING) / (total.sum(1, keepdims=True) + SMOOTHING * BUCKETS)
     ratio = np.log(p[0]) - np.log(p[1]) if total[0].any() else np.zeros(BUCKETS)
     weighed = slim.mapInArrow(_weigh(ratio), "id bigint, n_grams bigint, log_weight double")
-    rows = scratch.save(weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("id"), seed)))
-    return top_k(rows, int(rows.count() * keep), "gumbel_key", "id", "kept").withColumnRenamed("id", key)
+    rows = scratch.save(weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("id"), seed)).withColumn("row", F.monotonically_increasing_id()))
+    return top_k(rows, int(rows.count() * keep), "gumbel_key", "id", "kept", "row").drop("row").withColumnRenamed("id", key)
 
 
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
