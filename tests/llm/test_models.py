@@ -110,6 +110,54 @@ def test_scores_of_the_base_and_proper_model(spark, monkeypatch):
     assert 0 < sum(10 ** r["score"] for r in scored) <= 1 + 1e-9
 
 
+def test_scores_by_brute_force(spark, monkeypatch):
+    """A document's score against the forward recursion, token by token, of the model that was trained."""
+    monkeypatch.setattr(hmm_lm, "CHUNK_BYTES", 900)
+    models, train = [], hmm_lm.trained
+    monkeypatch.setattr(hmm_lm, "trained", lambda *a: models.append(train(*a)) or models[-1])
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.5, rng.integers(0, 60)) if x < 400)) for i in range(150)] + [(900, "w1 " * 1000), (901, None), (902, "new w1 words"), (None, "w2 w2")]
+    got = hmm_lm.score_documents(docs(spark, rows).repartition(3), Scratch(spark, "t"), states=3).collect()
+    model = models[0]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    count = Counter(w for i, t in rows if not held(i) for w in [*words(t), b""])
+    n, unseen = sum(count.values()), (sum(c == 1 for c in count.values()) + 1) / (sum(count.values()) + 1)
+    frequent = sorted((w for w, c in count.items() if c > 1 and w), key=lambda w: (-count[w], w))
+    kind = {w: hmm_lm.CLASSES + 1 + i for i, w in enumerate(frequent)} | {b"": 0}
+
+    def brute(text):
+        v, log = None, 0.0
+        for w in [*words(text), b""]:
+            shared = zlib.crc32(w[:1] + b"\0" + w[-2:]) % hmm_lm.CLASSES + 1
+            e = (1 - unseen) * count[w] / n * model.ratio[kind.get(w, shared)] if count[w] else np.full(3, unseen)
+            v = (model.initial if v is None else v @ model.trans) * e
+            log += math.log10(v.sum())
+            v = v / v.sum()
+        return log
+
+    assert len(got) == len(rows)
+    want = sorted((str(i), round(brute(t), 6)) for i, t in rows)
+    assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got) == want
+
+
+def test_training_goes_on_until_the_likelihood_settles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"{'ab'[(j // 9) % 2]}{x}" for j, x in enumerate(rng.integers(0, 30, 200)))) for i in range(60)]
+    logs, expect = [], hmm_lm.Model.fitted
+    monkeypatch.setattr(hmm_lm, "WARM_TOKENS", 600)
+    monkeypatch.setattr(hmm_lm.Model, "fitted", staticmethod(lambda *a: logs.append(1) or expect(*a)))
+    few = hmm_lm.score_documents(docs(spark, rows), Scratch(spark, "t"), states=2, gain=1.0).agg(F.sum("score")).first()[0]
+    n_few = len(logs)
+    many = hmm_lm.score_documents(docs(spark, rows), Scratch(spark, "t"), states=2, gain=1e-4).agg(F.sum("score")).first()[0]
+    assert len(logs) - n_few > n_few and many > few
+
+
+def test_the_warm_start_takes_whole_documents(monkeypatch):
+    monkeypatch.setattr(hmm_lm, "WARM_TOKENS", 10)
+    texts = [np.arange(n, dtype="<i4") for n in (4, 7, 5, 1, 3)]
+    assert [len(x) for x in hmm_lm.warm_sample([t.tobytes() for t in texts])] == [4, 5, 1]
+
+
 def test_language_model_edges(spark):
     assert hmm_lm.score_documents(docs(spark, []), Scratch(spark, "t")).count() == 0
     lone = hmm_lm.score_documents(docs(spark, [(1, "a b")]), Scratch(spark, "t"), held_out=F.lit(True)).first()
@@ -163,11 +211,71 @@ def test_field_learns_words_and_spans(spark):
 def test_the_gradient_takes_400_000_tokens(monkeypatch):
     seen, run = [], toxicity.Field.run
     monkeypatch.setattr(toxicity, "ITERATIONS", 1)
+    monkeypatch.setattr(toxicity, "ROUNDS", 0)
     monkeypatch.setattr(toxicity.Field, "run", lambda self, score, lengths, *a: seen.append(int(lengths.sum())) or run(self, score, lengths, *a))
     toxicity.fit((" ".join([f"w{i}x{j % 50}" for j in range(999)] + ["nasty" if i % 2 else "fine"]).encode(), i % 2) for i in range(600))
     assert seen[0] == 400_000
 
 
+def test_labels_given_the_documents_by_enumeration():
+    rng = np.random.default_rng(7)
+    lengths, toxic = np.array([3, 1, 5, 2, 4]), np.array([True, True, False, True, False])
+    field = toxicity.Field(np.zeros(4), 0.0, rng.normal(size=2), rng.normal(size=(2, 2)))
+    scores, at = rng.normal(size=15), 0
+    chance, start, moves = toxicity.under_labels(field, scores, lengths, toxic)
+    want, first, want_moves = np.zeros(15), np.zeros(2), np.zeros((2, 2))
+    for n, y in zip(lengths, toxic, strict=True):
+        paths = [p for p in itertools.product((0, 1), repeat=int(n)) if any(p) == y]
+        weight = np.array([math.exp(field.start[p[0]] + sum(field.trans[a, b] for a, b in zip(p, p[1:])) + sum(scores[at + i] for i in range(n) if p[i])) for p in paths])
+        for p, w in zip(paths, weight / weight.sum(), strict=True):
+            want[at : at + n] += w * np.array(p)
+            first[p[0]] += w
+            for a, b in zip(p, p[1:]):
+                want_moves[a, b] += w
+        at += n
+    assert np.allclose(chance, want) and np.allclose(start, first) and np.allclose(moves, want_moves)
+
+
+def test_document_scores_and_spans_by_brute_force(spark):
+    """Whole documents against plain forward-backward in logarithms, a document at a time."""
+    field = toxicity.fit((t.encode(), y) for _, t, y in toxic_sample())
+    rows = [(i, t) for i, t, _ in toxic_sample()[:120]] + [(1000, None), (1001, ""), (1002, "nasty " * 300), (1003, "w1 \t nasty\nBADWORD! w2 nasty"), (1003, "w1")]
+    got = toxicity.score_toxicity(docs(spark, rows).drop("score"), field).collect()
+
+    def add(a, b):
+        return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+    def brute(text):
+        tokens = words(text)
+        if not tokens:
+            return toxicity.document_score(field, np.zeros(0)), []
+        s = np.clip(field.word_scores(tokens), -30, 30).tolist()
+        f = [[field.start[0], field.start[1] + s[0]]]
+        for x in s[1:]:
+            f.append([add(f[-1][0] + field.trans[0, j], f[-1][1] + field.trans[1, j]) + (x if j else 0) for j in (0, 1)])
+        b = [[0.0, 0.0]]
+        for x in s[:0:-1]:
+            b.append([add(b[-1][0] + field.trans[j, 0], b[-1][1] + field.trans[j, 1] + x) for j in (0, 1)])
+        z = add(*f[-1])
+        p = np.array([math.exp(u[1] + v[1] - z) for u, v in zip(f, b[::-1], strict=True)])
+        return toxicity.document_score(field, p), [(x["start"], x["end"]) for x in toxicity.spans(text, p)]
+
+    want = sorted((i, round(brute(t)[0], 6), brute(t)[1]) for i, t in rows)
+    assert sorted((r["doc_id"], round(r["score"], 6), [(x["start"], x["end"]) for x in r["spans"]]) for r in got) == want
+    assert any(w[2] for w in want)
+
+
+def test_long_labelled_texts_count_within_the_bytes_of_the_sample(spark, monkeypatch):
+    seen, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60_000)
+    monkeypatch.setattr(toxicity, "fit", lambda texts: seen.append([len(t) for t, _ in texts]) or fit(iter([])))
+    texts = [b"x" * n for n in (10, 50_000, 20_000, 9_000, 900, 5)]
+    import pyarrow as pa
+
+    list(toxicity._fit(iter([pa.record_batch([pa.array(texts[:2]), pa.array([0, 1])], names=["t", "y"]), pa.record_batch([pa.array(texts[2:]), pa.array([1, 0, 0, 1])], names=["t", "y"])])))
+    assert seen == [[10, 50_000, 9_000, 900, 5]]
+
+
 def test_toxicity_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.train(docs(spark, [(1, "a")]), labels) is None
@@ -246,13 +354,37 @@ def test_stages_against_brute_force(spark):
         start += len(x)
 
 
-def test_stages_take_nulls_and_empty_tables(spark, tmp_path):
+def test_stages_keep_the_right_rows_of_odd_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, ties, extra columns with clashing names, empty tables."""
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
-    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
-    odd = [(1, None, None, None, None), (None, "a b c", "en", "s", 3), (2, "", "en", None, 0), (2, "", "en", None, 0), (3, "x " * 30_000, None, "s", None), (None, None, None, None, None)]
-    for rows in ([], odd):
-        now = spark.createDataFrame(rows, schema)
-        for _, stage in corpus_pipeline.STAGES:
-            now = Scratch(spark, "t").save(stage(spark, now, str(tmp_path)))
-        assert (now.count() > 0) == bool(rows)
+    extra = {"score": "double", "row": "string", "fp": "long", "component_id": "long", "id": "long", "size": "long", "copies": "int", "q": "double", "of": "string", "key": "string", "hash": "long", "part": "int", "t": "string"}
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{k} {v}" for k, v in extra.items())
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    long, other = "x " * 30_000, " ".join(f"v{i}" for i in range(500))
+    texts = [(1, None, None), (None, "a b c", "s"), (2, "", "s"), (2, "", "s"), (3, long, "s"), (None, None, None), (4, other, "t"), (5, other, "t"), (5, other, "t"), (6, f"start {item} end", "t"), (7, long, "t")]
+    clash = [0.5, "r", 1, 2, 3, 4, 5, 6.0, "o", "k", 7, 8, "t"]
+    rows = [(i, t, "en", source, 3, *clash) for i, t, source in texts]
+    ids = lambda df: sorted(((r["doc_id"], len(r["text"] or "")) for r in df.collect()), key=repr)
+    stages = dict(corpus_pipeline.STAGES)
+    for case in ([], rows):
+        docs = spark.createDataFrame(case, schema).repartition(3)
+        run = lambda name, df: Scratch(spark, "t").save(stages[name](spark, df, str(tmp_path)))  # noqa: B023, E731
+        clean = run("toxicity", docs)
+        assert clean.columns == docs.columns and ids(clean) == ids(docs)
+        alone = run("near_copies", clean)
+        assert alone.columns == docs.columns
+        # empty and null texts have one fingerprint; repeated rows of the id that stays all stay; rows without an id stay
+        want = [(1, 0), (3, len(long)), (4, len(other)), (6, len(item) + 10), (None, 0), (None, 5)]
+        assert ids(alone) == sorted(want if case else [], key=repr)
+        free = run("decontamination", alone)
+        assert free.columns == docs.columns and ids(free) == sorted([w for w in want if w[0] != 6] if case else [], key=repr)
+        mix = run("mixing", free)
+        copies = {(r["doc_id"], r["size"]): r["copies"] for r in mixing.mix(free, Scratch(spark, "t")).collect()}
+        assert mix.columns == docs.columns and set(copies.values()) <= {0, 1, 2}
+        sizes = {(r["doc_id"], len((r["text"] or "").split())) for r in free.collect()}
+        assert set(copies) == sizes
+        assert Counter((r["doc_id"], len((r["text"] or "").split())) for r in mix.collect()) == Counter({k: c for k, c in copies.items() if c})
+        out = run("token_output", mix)
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in mix.collect())
+        assert [r["start"] for r in out.orderBy("start").collect()] == list(itertools.accumulate((r["n_tokens"] for r in out.orderBy("start").collect()), initial=0))[:-1]

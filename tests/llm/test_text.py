@@ -147,7 +147,10 @@ def test_near_duplicates_edges(spark):
         simhash.near_duplicates(docs(spark, []), Scratch(spark, "t"), max_bits=4)
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_components_of_paths_and_stars(spark, monkeypatch, one_task):
+    monkeypatch.setattr("tidemark.llm.components.ONE_TASK", one_task)
+    assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
     links = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 30)] + [(7, 7), (300, 200), (200, 300)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long"), Scratch(spark, "t")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 0 for i in range(30)} | {200: 200, 300: 200}
@@ -315,6 +318,31 @@ def test_long_items_edited_to_the_limit_are_found(n):
     assert all({m[0] for m in hits} <= {i} and all(m[2] <= k for m in hits) for i, hits in enumerate(found))
 
 
+@pytest.mark.parametrize("n", [20, 60, 150, 400])
+def test_whole_documents_against_all_windows(n):
+    """Every item against every stretch of every document: nothing wrong is found, and at the full distance 0.95 of all."""
+    rng = random.Random(n)
+    vocabulary = [f"b{i}" for i in range(600)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i in range(12)]
+    k, texts = decontaminate.allowed(n), []
+    for _ in range(300 if n < 100 else 50):
+        words = rng.choice(items)[1].split()
+        for _ in range(k + rng.choice((0, 0, 0, 2))):  # some beyond the distance allowed
+            at, kind = rng.randrange(len(words)), rng.randint(0, 2)
+            words[at : at + (kind != 2)] = [] if kind == 1 else [rng.choice(vocabulary)]
+        texts.append(" ".join([*rng.choices(vocabulary, k=rng.randint(0, 120)), *words, *rng.choices(vocabulary, k=rng.randint(0, 120))]).encode())
+    index = decontaminate.Index([(i, t.encode()) for i, t in items])
+    found = {(d, m[0]): m[2] for d, hits in enumerate(index.matches(texts)) for m in hits}
+    every = {}
+    for d, t in enumerate(texts):
+        code = np.array([index.vocabulary.get(w, 0) for w in decontaminate.words_of(t)], np.int32)
+        for x in index.items:
+            if hit := decontaminate.best_stretch(x.code, code, k):
+                every[d, x.id] = hit[0]
+    assert set(found) <= set(every) and all(found[key] >= every[key] for key in found)
+    assert len(every) >= 0.7 * len(texts) and len(found) >= 0.95 * len(every)
+
+
 def test_decontamination_edges(spark, monkeypatch):
     item = bench_items(1)[0][1]
     benchmark = spark.createDataFrame([(0, item), (1, None), (2, ""), (None, item), (3, "... !")], "item_id long, text string")
@@ -341,6 +369,16 @@ def test_top_k_is_exact(spark):
             assert {r["id"] for r in got.filter("kept").collect()} == want
 
 
+def test_rows_that_tie_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "LAST_BIN", 100)
+    ids = [None] * 3000 + [7] * 2000 + list(range(100, 400))
+    rows = spark.createDataFrame([(i, 1.5, n * 3) for n, i in enumerate(ids)], "id long, v double, row long").repartition(4)
+    for k in (1, 1500, 2100, 2301, 5000):
+        got = resampling.top_k(rows, k, "v", "id", "kept", "row").filter("kept").collect()
+        want = sorted(range(len(ids)), key=lambda n: (ids[n] is None, ids[n] or 0, n))[:k]
+        assert sorted(r["row"] for r in got) == sorted(n * 3 for n in want)
+
+
 def test_importance_weights_by_hand(spark):
     rows = [(1, "good words here"), (2, "good words too"), (3, "junk junk"), (4, None), (5, ""), (None, "junk")]
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (None, 1), (9, 1)], "doc_id long, quality int")
