@@ -310,6 +310,30 @@ def test_classifier(spark):
     assert ml.predict(model, miss).first()["prediction"] is None
 
 
+def test_classifier_against_newton_steps(spark):
+    """Predictions of the registered query's classifier against a plain penalised fit."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 5)) * [1, 2, 0.5, 1, 3]
+    y = (x @ [1, -0.5, 2, 0, 0.1] + rng.logistic(size=300) > 0).astype(float)
+    rows = spark.createDataFrame([(r.tolist(), int(v)) for r, v in zip(x, y)], "features array<double>, label int")
+    got = ml.predict(ml.train(rows), rows).collect()
+    scale, w = x.std(0, ddof=1), np.zeros(6)
+    z = np.hstack([x / scale, np.ones((300, 1))])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        penalty = np.array([0.01] * 5 + [0])
+        w -= np.linalg.solve((z.T * (p * (1 - p))) @ z / 300 + np.diag(penalty), z.T @ (p - y) / 300 + penalty * w)
+    p = 1 / (1 + np.exp(-z @ w))
+    assert [r["prediction"] for r in got] == [int(v > 0.5) for v in p]
+    assert [r["probability"] for r in got] == pytest.approx(np.maximum(p, 1 - p), abs=1e-3)
+
+
+def test_features_as_json(spark):
+    rows = spark.createDataFrame([([1.0, -2.5, 1e-7],), ([],), (None,)], "f array<double>").withColumn("v", ml.feature_value(F.col("f")))
+    got = [(bytes(r["v"]) if r["v"] is not None else None, r["b"]) for r in rows.withColumn("b", ml.features_of(F.col("v"))).collect()]
+    assert got == [(b"[1.0,-2.5,1.0E-7]", [1.0, -2.5, 1e-7]), (b"[]", []), (None, None)]
+
+
 def test_flushed_runs_are_sorted_by_key(spark, tmp_path):
     store = Store(spark, str(tmp_path / "sorted"))
     store.put_batch(kv_rows(spark, [(f"k{i * 37 % 101:03}", f"v{i}", 1) for i in range(202)]))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SCHEMA_REGISTRY
@@ -34,10 +34,19 @@ def empty_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA_REGISTRY)
 
 
+def feature_value(features: Column) -> Column:
+    """A record's value for an array of features: the JSON array, in UTF-8. Null gives null."""
+    return F.to_json(features.cast("array<double>")).cast("binary")
+
+
+def features_of(value: Column) -> Column:
+    """The features in a record's value; null where it is no JSON array."""
+    return F.from_json(value.cast("string"), "array<double>")
+
+
 def feature_lookup(requests: DataFrame, log: DataFrame) -> DataFrame:
     """Each requested key with its features, the JSON array in the current value; null where there is none."""
-    found = lookup(log, requests)
-    return found.withColumn("features", F.from_json(F.col("value").cast("string"), "array<double>"))
+    return lookup(log, requests).withColumn("features", features_of(F.col("value")))
 
 
 def train(rows: DataFrame, features: str = "features", label: str = "label") -> LogisticRegressionModel:

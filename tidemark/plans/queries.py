@@ -199,10 +199,24 @@ def group_commit_timer(spark, sf_dir):
 # Log frames
 
 
-@query()
+def _octets(number: str, n: int) -> str:
+    """SQL for the low n bytes of a number that is not negative, least significant first, in hexadecimal."""
+    return "concat(" + ", ".join(f"printf('%02X', ({number}) // {256**i} % 256)" for i in range(n)) + ")"
+
+
+@query(
+    f"""WITH {KV_SQL},
+    crcs AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+    payloads AS (SELECT seq, {_octets("ts", 8)} || CASE WHEN tombstone THEN '01' ELSE '00' END || {_octets("strlen(key)", 4)} || {_octets("strlen(coalesce(value, ''))", 4)}
+      || hex(key) || hex(coalesce(value, '')) AS p FROM kv),
+    octets AS (SELECT seq, p, list_transform(range(length(p) // 2), lambda i: ('0x' || substr(p, 2 * i + 1, 2))::BIGINT) AS o FROM payloads),
+    sums AS (SELECT seq, p, xor(list_reduce(list_prepend(4294967295::BIGINT, o), lambda a, v: xor(a // 256, t[xor(a % 256, v) + 1])), 4294967295) AS crc FROM octets, crcs)
+    SELECT seq, {_octets("crc", 4)} || p AS frame, crc FROM sums"""
+)
 def wal_frame_crc(spark, sf_dir):
+    """Each row's frame in hexadecimal, and its checksum."""
     log = kv(spark, sf_dir).withColumn("key", F.col("key").cast("binary")).withColumn("value", F.col("value").cast("binary"))
-    return wal.to_frames(log)
+    return wal.to_frames(log).withColumn("frame", F.hex("frame"))
 
 
 @query(f"WITH {KV_SQL} SELECT key, ts, seq FROM kv WHERE seq < (SELECT count(*) // 2 FROM events)")
@@ -513,6 +527,14 @@ def predict(spark, sf_dir):
     return scored.select("vec_id", (F.col("vec_id") % 5 == 0).alias("held_out"), "label", "prediction", F.round("probability", 6).alias("probability"))
 
 
+@query("SELECT vec_id, len(embedding) AS n_features, true AS same FROM embeddings")
+def feature_values(spark, sf_dir):
+    """Features put as the JSON arrays that values are, and read back as they were."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+    back = rows.withColumn("value", ml.feature_value(F.col("features"))).withColumn("back", ml.features_of(F.col("value")))
+    return back.select("vec_id", F.size("back").alias("n_features"), (F.col("back") == F.col("features")).alias("same"))
+
+
 @query("SELECT * FROM (VALUES ('v1', 'age'), ('v1', 'click_rate'), ('v1', 'past_purchases'), ('v1', 'embedding_vector'), ('v2', 'age')) t(version, feature)")
 def schema_registry(spark, sf_dir):
     registry = ml.register_schema(ml.empty_registry(spark), "v1", ["age", "click_rate", "past_purchases", "embedding_vector"])
