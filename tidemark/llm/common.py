@@ -113,12 +113,15 @@ class Scratch:
     """Written tables in the shared folder; they cut lineage and survive lost executors.
 
     ``save`` writes a DataFrame and returns it as read from there; ``drop``
-    removes tables that no later step reads.
+    removes tables that no later step reads. Results are read from here, so a
+    folder stays until its user removes it (:func:`swept`).
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.top, self.n = spark, f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
+        Scratch.made.append(self)
 
     def path(self) -> str:
         self.n += 1
@@ -131,7 +134,6 @@ class Scratch:
             df = df.repartition(n)
         df.write.options(**{"compression": codec, **NO_MARK}).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._tidemark_path = path
         return out
 
@@ -145,6 +147,18 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def swept():
+    """Removes, behind the block, the folders of the scratch tables that operators made in it."""
+    at = len(Scratch.made)
+    try:
+        yield
+    finally:
+        for scratch in Scratch.made[at:]:
+            scratch.remove(scratch.top)
+        del Scratch.made[at:]
+
+
 def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """``df``, of ``rows`` counted rows, marked for broadcast if these are ``most`` at most, else as it is."""
     return F.broadcast(df) if rows <= most else df
