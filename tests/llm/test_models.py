@@ -388,3 +388,14 @@ def test_stages_keep_the_right_rows_of_odd_tables(spark, tmp_path):
         out = run("token_output", mix)
         assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in mix.collect())
         assert [r["start"] for r in out.orderBy("start").collect()] == list(itertools.accumulate((r["n_tokens"] for r in out.orderBy("start").collect()), initial=0))[:-1]
+
+
+def test_run_removes_what_its_stages_have_read(spark):
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").orderBy("start").collect()
+    assert got and [r["start"] for r in got] == list(itertools.accumulate((r["n_tokens"] for r in got), initial=0))[:-1]
+    from tidemark.llm.common import shared_folder
+
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getLocal(spark.sparkContext._jsc.hadoopConfiguration())
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    runs = [str(x.getPath()) for x in fs.globStatus(path(f"{shared_folder(spark)}/tidemark/pipeline-run-*/*"))]
+    assert len(runs) == 1  # the result; the documents between stages are gone
