@@ -383,8 +383,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     first_word, end_word (words of the document, counted without punctuation-only ones).
 
     Null, empty and wordless documents or items match nothing; an empty
-    benchmark or table gives no rows. Repeated documents each give their rows,
-    repeated item ids count as items of their own. Clean documents give none.
+    benchmark or table gives no rows. Very long documents are searched whole.
+    Repeated documents each give their rows, repeated item ids count as items
+    of their own; of equally near stretches the first counts. Clean documents
+    give none. Columns other than key and text, whatever their names, are not read.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -391,8 +391,9 @@ def score_toxicity(docs: DataFrame, field: Field | None, text: str = "text") ->
     """``docs`` without its text, plus score, spans and predicted (1 if score >= 0.5).
 
     Null, empty and wordless texts have the score of no evidence and no spans;
-    every text has score 0 if no field could be fitted. Columns named score, spans or predicted are
-    replaced. Every row, repeated or not, gives a row.
+    every text has score 0 if no field could be fitted. Very long texts are one
+    chain, judged whole. Columns named score, spans or predicted are
+    replaced, others come along. Every row, repeated or not, gives a row; an empty table none.
     """
     ship(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in {text.lower(), "score", "spans", "predicted"}]
