@@ -62,7 +62,7 @@ SEGMENT_TOKENS = 1 << 18
 FILE_SEGMENTS = 64
 INDEX = "part int, seq int, file int, offset long, size long, at long, n_tokens long, n_docs long"
 #: Pieces of text whose ids a worker keeps: about 0.2 kB each, beside other stages or alone.
-CACHE, LARGE_CACHE = 400_000, 1_200_000
+CACHE, LARGE_CACHE = 150_000, 1_200_000
 IDLE_S = 5
 
 
