@@ -391,11 +391,13 @@ def test_stages_keep_the_right_rows_of_odd_tables(spark, tmp_path):
 
 
 def test_run_removes_what_its_stages_have_read(spark):
-    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").orderBy("start").collect()
-    assert got and [r["start"] for r in got] == list(itertools.accumulate((r["n_tokens"] for r in got), initial=0))[:-1]
     from tidemark.llm.common import shared_folder
 
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getLocal(spark.sparkContext._jsc.hadoopConfiguration())
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    runs = [str(x.getPath()) for x in fs.globStatus(path(f"{shared_folder(spark)}/tidemark/pipeline-run-*/*"))]
-    assert len(runs) == 1  # the result; the documents between stages are gone
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.FileSystem.getLocal(spark.sparkContext._jsc.hadoopConfiguration())
+    tables = lambda: {str(x.getPath()) for x in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tidemark/pipeline*/*"))}
+    before = tables()
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").orderBy("start").collect()
+    assert got and [r["start"] for r in got] == list(itertools.accumulate((r["n_tokens"] for r in got), initial=0))[:-1]
+    left = tables() - before
+    assert len(left) == 2 and sum("/pipeline-run-" in x for x in left) == 1  # the result and the token files
