@@ -532,7 +532,7 @@ def feature_values(spark, sf_dir):
     """Features put as the JSON arrays that values are, and read back as they were."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
     back = rows.withColumn("value", ml.feature_value(F.col("features"))).withColumn("back", ml.features_of(F.col("value")))
-    return back.select("vec_id", F.size("back").alias("n_features"), (F.col("back") == F.col("features")).alias("same"))
+    return back.select("vec_id", F.size("back").cast("long").alias("n_features"), (F.col("back") == F.col("features")).alias("same"))
 
 
 @query("SELECT * FROM (VALUES ('v1', 'age'), ('v1', 'click_rate'), ('v1', 'past_purchases'), ('v1', 'embedding_vector'), ('v2', 'age')) t(version, feature)")
