@@ -156,6 +156,20 @@ def test_components_of_paths_and_stars(spark, monkeypatch, one_task):
     assert got == {i: 100 for i in range(100, 161)} | {i: 0 for i in range(30)} | {200: 200, 300: 200}
 
 
+def test_many_links_of_few_nodes_take_few_jobs(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.components.ONE_TASK", 700)
+    links = [(100 * g + a, 100 * g + b) for g in range(40) for a in range(16) for b in range(a)]
+    sc = spark.sparkContext
+    sc.setJobGroup("few-jobs", "")
+    try:
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long"), Scratch(spark, "t")).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {100 * g + a: 100 * g for g in range(40) for a in range(16)}
+    assert len(sc.statusTracker().getJobIdsForGroup("few-jobs")) <= 14
+
+
+
 # Token files
 
 
