@@ -417,3 +417,26 @@ def test_resampling_prefers_good_documents(spark):
     got = resampling.op10_importance_resampling(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     share = {r["quality"]: r["k"] for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
     assert share[1] > 0.9 > 0.3 > share[0]
+
+
+def test_walks_shared_by_classes_are_those_of_each_class(monkeypatch):
+    rng = random.Random(5)
+    words = [b"w%d" % i for i in range(60)]
+    index = decontaminate.Index([(i, b" ".join(rng.choices(words, k=n))) for i, n in enumerate([12, 15, 22, 30, 44, 70, 95] * 3)])
+    code = np.array([rng.randrange(61) for _ in range(3000)] + [0] * 200, np.int32)
+    ends = np.where(np.arange(3200) < 3000, 3000, 0)
+    unknown, want = np.concatenate([[0], np.cumsum(code == 0)]), set()
+    for c in index.hashed:
+        lo, hi, _ = index.classes[c]
+        least, k = lo - decontaminate.allowed(lo), decontaminate.allowed(hi)
+        starts = np.array([p for p in range(3000 - least + 1) if unknown[p + least] - unknown[p] <= k])
+        for r in range(index.rounds):
+            at, seen = index.walk(c, r, code, starts, index.walk_hashes(r, 0, index.names[code]))
+            for key, item in zip(*index.tables[c][r][:2], strict=True):
+                want |= {(int(item), int(p)) for p in at[index.key(seen) == key]}
+    hashed, sizes = index.walk_hashes, []
+    monkeypatch.setattr(index, "walk_hashes", lambda r, block, raw: sizes.append(len(raw)) or hashed(r, block, raw))
+    index.pieces = {}
+    assert want
+    assert set(index.candidates(code, ends)) == want
+    assert max(sizes) == len(index.names)  # the benchmark's words are hashed, not each word of the texts

@@ -116,6 +116,14 @@ def best_stretch(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int,
     return (int(row[end]), int(start[end]), end) if row[end] <= most else None
 
 
+def moved(at: np.ndarray, bits: np.ndarray, step: int) -> np.ndarray:
+    """Where walks stand after a step."""
+    on = bits.take(at)
+    on >>= np.uint64(step % 64)
+    on &= np.uint64(1)
+    return at + on.view(np.int64)
+
+
 class Index:
     """Keys of a block of items, by length class and round; pieces of the items of other classes."""
 
@@ -129,6 +137,7 @@ class Index:
                 self.items.append(Item(item_id, code))
         self.known = Codes(self.vocabulary)
         self.names = np.array([0] + [zlib.crc32(w) for w in self.vocabulary], np.uint64)
+        self.drawn: dict[tuple[int, int], list[int]] = {}
         self.classes: list[tuple[int, int, int]] = []  # smallest and largest length, walk steps
         for n in sorted({i.n for i in self.items}):
             if not self.classes or n > CLASS_RATIO * self.classes[-1][0]:
@@ -160,28 +169,37 @@ class Index:
 
     def samples(self, c: int, r: int) -> list[int]:
         """Embedding positions sampled in a round."""
-        steps = self.classes[c][2]
-        return np.sort(np.random.default_rng((self.seed, c, r)).choice(steps, min(SAMPLED, steps), replace=False)).tolist()
-
-    def walk(self, c: int, r: int, words: np.ndarray, starts: np.ndarray, bits: np.ndarray, only: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        if (c, r) not in self.drawn:
+            steps = self.classes[c][2]
+            self.drawn[c, r] = np.sort(np.random.default_rng((self.seed, c, r)).choice(steps, min(SAMPLED, steps), replace=False)).tolist()
+        return self.drawn[c, r]
+
+    def bits(self, r: int, block: int, words: np.ndarray) -> np.ndarray:
+        """The hashes of coded words, each word of the benchmark hashed once."""
+        return self.walk_hashes(r, block, self.names)[words]
+
+    def walk(
+        self, c: int, r: int, words: np.ndarray, starts: np.ndarray, bits: np.ndarray, only: list[np.ndarray] | None = None, at: np.ndarray | None = None, done: int = 0
+    ) -> tuple[np.ndarray, list[np.ndarray]]:
         """Starts of windows and the words at the sampled positions of their embeddings.
 
         Past the end a walk reads zeros: ``words`` must be padded. ``bits`` are
         the words' hashes for the walk's first block of steps. ``only`` tells
         for each sample which words some item has there; other windows end.
+        ``at``, if given, is where the walks stand after ``done`` steps.
         """
-        at, seen, done, block = starts.astype(np.int64), [], 0, 0
+        at, seen, block = starts.astype(np.int64) if at is None else at, [], 0
         for s in self.samples(c, r):
             for step in range(done, s + 1):
                 if step // 64 != block:
                     block = step // 64
-                    bits = self.walk_hashes(r, block, self.names[words])
+                    bits = self.bits(r, block, words)
                 if step == s:
                     seen.append(words[at])
                     if only is not None:
                         keep = only[len(seen) - 1][seen[-1]]
                         at, starts, seen = at[keep], starts[keep], [x[keep] for x in seen]
-                at = at + (bits[at] >> np.uint64(step % 64) & np.uint64(1)).astype(np.int64)
+                at = moved(at, bits, step)
             done = s + 1
         return starts, seen
 
@@ -248,31 +266,52 @@ class Index:
         the longest walk; ``ends`` has the document's end for each word, 0 in gaps.
         """
         unknown = np.concatenate([[0], np.cumsum(words == 0)])
-        raw, place = self.names[words], np.arange(len(words))
-        found, parts = list(self.piece_candidates(words, ends)), []
+        found, parts, of = list(self.piece_candidates(words, ends)), [], {}
         for c in self.hashed:
             lo, hi, _ = self.classes[c]
             k = allowed(hi, self.similarity)
             # In an alignment of n words with at most k edits, the stretch has n - k words or more.
             least = max(1, lo - allowed(lo, self.similarity))
-            starts = place[place + least <= ends]
-            starts = starts[unknown[starts + least] - unknown[starts] <= k]
-            parts += [(c, starts[a : a + PIECE]) for a in range(0, len(starts), PIECE)]
+            starts = np.nonzero(np.arange(least, len(words) + least) <= ends)[0]
+            of[c] = np.zeros(len(words), bool)
+            of[c][starts[unknown[starts + least] - unknown[starts] <= k]] = True
+        if of:
+            starts = np.nonzero(np.logical_or.reduce(list(of.values())))[0]
+            cut = [starts[a : a + PIECE] for a in range(0, len(starts), PIECE)]
+            parts = [(x, {c: mine[x] for c, mine in of.items()}) for x in cut]
+        # Up to a class's first sample its walks are those of every class, so they are made together.
         for r in range(self.rounds if parts else 0):
-            bits = self.walk_hashes(r, 0, raw)
-            for c, part in parts:
-                keys, members, only = self.tables[c][r]
-                part, seen = self.walk(c, r, words, part, bits, only)  # noqa: PLW2901
-                mine = self.key(seen)
-                left = np.searchsorted(keys, mine, "left")
-                hit = np.nonzero(keys[np.minimum(left, len(keys) - 1)] == mine)[0]
-                left = left[hit]
-                n = np.searchsorted(keys, mine[hit], "right") - left
-                which = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                found.append(np.unique(members[which] * len(words) + np.repeat(part[hit], n)))
+            bits, order = self.bits(r, 0, words), sorted(self.hashed, key=lambda c: self.samples(c, r)[0])
+            for starts, mine in parts:
+                self._round(r, order, words, starts, mine, bits, found)
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return zip((pairs // len(words)).tolist(), (pairs % len(words)).tolist(), strict=True)
 
+    def _round(self, r: int, order: list[int], words: np.ndarray, starts: np.ndarray, of: dict[int, np.ndarray], bits: np.ndarray, found: list[np.ndarray]) -> None:
+        """Adds the coded (item, start) that a round finds at these starts.
+
+        ``order`` has the classes by their first sample, ``of`` tells for each which of the starts are its.
+        """
+        at, done, block, common = starts.astype(np.int64), 0, 0, bits
+        for c in order:
+            first = self.samples(c, r)[0]
+            for step in range(done, first):
+                if step // 64 != block:
+                    block = step // 64
+                    common = self.bits(r, block, words)
+                at = moved(at, common, step)
+            done = first
+            keys, members, only = self.tables[c][r]
+            keep = np.nonzero(of[c] & only[0].take(words.take(at)))[0]
+            part, seen = self.walk(c, r, words, starts[keep], bits, only, at[keep], done)
+            mine = self.key(seen)
+            left = np.searchsorted(keys, mine, "left")
+            hit = np.nonzero(keys[np.minimum(left, len(keys) - 1)] == mine)[0]
+            left = left[hit]
+            n = np.searchsorted(keys, mine[hit], "right") - left
+            which = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            found.append(np.unique(members[which] * len(words) + np.repeat(part[hit], n)))
+
     def matches(self, texts: list[bytes | None]) -> list[list[tuple[int, int, int, int, int]]]:
         """For each text (item id, words, distance, first word, last word + 1) of the items
         it holds, the nearest stretch each."""
