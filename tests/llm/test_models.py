@@ -6,7 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -401,3 +403,27 @@ def test_run_removes_what_its_stages_have_read(spark):
     assert got and [r["start"] for r in got] == list(itertools.accumulate((r["n_tokens"] for r in got), initial=0))[:-1]
     left = tables() - before
     assert len(left) == 2 and sum("/pipeline-run-" in x for x in left) == 1  # the result and the token files
+
+
+def test_an_iteration_sends_few_rows_that_sum_to_the_counts():
+    rng, n_types = np.random.default_rng(3), 3000
+    lengths, held = rng.integers(1, 400, 40), rng.random(40) < 0.2
+    tokens = rng.integers(0, n_types, int(lengths.sum()))
+    kinds = rng.permutation(n_types)
+    columns = [
+        pa.array([list(range(40))], pa.list_(pa.int64())),
+        pa.array([held.tolist()], pa.list_(pa.bool_())),
+        pa.array([lengths.tolist()], pa.list_(pa.int32())),
+        pa.array([zstandard.compress(tokens.astype("<i4").tobytes())], pa.binary()),
+        pa.array([kinds.astype("<i4").tobytes()], pa.binary()),
+        pa.array([np.ones(n_types, "<i8").tobytes()], pa.binary()),
+    ]
+    ready = pa.RecordBatch.from_arrays(columns, names=hmm_lm._READY)
+    model = hmm_lm.Model.random(np.ones(n_types), 3, 1)
+    sent = list(hmm_lm._expectation(model, n_types)(iter([ready, ready])))
+    assert sum(x.num_rows for x in sent) <= 10  # not one for each type
+    total = {i: np.frombuffer(x, "<f8") for x in hmm_lm._summed(iter([*sent, *sent])) for i, x in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)}
+    types = kinds[tokens[np.repeat(~held, lengths)]]
+    a, b, c, log = hmm_lm.expected(chains.Chain(chains.firsts(lengths[~held])), types, model.ratio[types], model.initial, model.trans, n_types)
+    assert np.allclose(total.pop(-1), 4 * np.concatenate([[log], a, b.ravel()]), rtol=1e-4)
+    assert np.allclose(np.concatenate([total[i] for i in sorted(total)]).reshape(-1, 3), 4 * c, atol=1e-3)

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chains import Chain, firsts, forward, marginals
+from .chains import STEPS, Chain, firsts, folded_marginals, forward
 from .common import Scratch, crc_mod, ship, table, tidy
 
 HELD_OUT = 10
@@ -61,10 +61,18 @@ PIECE_TOKENS = 1 << 18
 
 def expected(chain: Chain, types: np.ndarray, e: np.ndarray, initial: np.ndarray, trans: np.ndarray, n_types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts: (initial K, transitions K x K, emissions types x K) and the log likelihood of the weights."""
-    gamma, moves, scale = marginals(chain, e, initial, trans)
-    first = chain.first.reshape(-1)[: chain.n]
-    emitted = np.stack([np.bincount(types, gamma[:, j], n_types) for j in range(len(initial))], axis=1)
-    return gamma[first].sum(0), moves, emitted, float(np.log(scale).sum())
+    return folded_counts(chain, chain.fold_one(types, n_types), chain.fold(e), initial, trans, n_types)
+
+
+def folded_counts(chain: Chain, types: np.ndarray, f: np.ndarray, initial: np.ndarray, trans: np.ndarray, n_types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The same of folded types, ``n_types`` behind the last token, and folded weights, which it overwrites."""
+    gamma, moves, scale = folded_marginals(chain, f, initial, trans)
+    flat, rows = types.reshape(-1), gamma.reshape(-1, len(initial))
+    emitted = np.stack([np.bincount(flat, rows[:, j], n_types + 1) for j in range(len(initial))], axis=1)[:n_types]
+    first = (chain.first.T & (types < n_types)).reshape(-1)
+    log = np.log(scale)
+    log[:, -1][STEPS - (chain.blocks * STEPS - chain.n) :] = 0
+    return rows[first].sum(0), moves, emitted, float(log.sum())
 
 
 class Model:
@@ -204,33 +212,49 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             )
 
 
-_COUNTS = pa.schema([("kind", pa.int32()), ("row", pa.int32()), ("n", pa.list_(pa.float64()))])
-_COUNTS_SQL = "kind int, row int, n array<double>"
+_COUNTS = pa.schema([("slice", pa.int32()), ("n", pa.binary())])
+_COUNTS_SQL = "slice int, n binary"
+#: Types whose counts make one row.
+SLICE = 1 << 10
 
 
 def _expectation(model: Model, n_types: int):
-    """Chunks to Baum-Welch counts of the whole partition: kind 0 initial, 1 transitions, 2 emissions, 3 the log likelihood.
+    """Chunks to Baum-Welch counts of the whole partition, in rows of doubles: by slice of types the emissions,
+    in slice -1 the log likelihood, the initial counts and the transitions.
 
     In single precision: the counts only guide the next model.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, ratio = len(model.initial), model.ratio.astype(np.float32)
+        k = len(model.initial)
+        ratio = np.concatenate([model.ratio, np.ones((1, k))]).astype(np.float32)
         start, moves, emitted, log, any_rows = np.zeros(k), np.zeros((k, k)), np.zeros((n_types, k)), 0.0, False
         for chunk in _chunks(batches):
             for types, lengths in chunk.trained():
-                a, b, c, d = expected(Chain(firsts(lengths)), types, ratio[types], model.initial, model.trans, n_types)
-                start, moves, emitted, log, any_rows = start + a, moves + b, emitted + c, log + d, True
+                chain = Chain(firsts(lengths))
+                laid = chain.fold_one(types, n_types)
+                a, b, c, d = folded_counts(chain, laid, ratio[laid], model.initial, model.trans, n_types)
+                emitted += c
+                start, moves, log, any_rows = start + a, moves + b, log + d, True
         if any_rows:
-            used = np.nonzero(emitted.sum(1))[0]
-            kinds = np.concatenate([[0, 3], np.ones(k, np.int32), np.full(len(used), 2)]).astype(np.int32)
-            rows = np.concatenate([[0, 0], np.arange(k), used]).astype(np.int32)
-            values = np.concatenate([start[None], np.full((1, k), log), moves, emitted[used]])
-            yield pa.record_batch([pa.array(kinds), pa.array(rows), pa.array(list(values), pa.list_(pa.float64()))], schema=_COUNTS)
+            parts = {-1: np.concatenate([[log], start, moves.ravel()])} | {i: emitted[i * SLICE : (i + 1) * SLICE] for i in range(-(-n_types // SLICE))}
+            used = {i: x.astype("<f8").tobytes() for i, x in parts.items() if x.any()}
+            yield pa.record_batch([pa.array(used, pa.int32()), pa.array(used.values(), pa.binary())], schema=_COUNTS)
 
     return tidy(run)
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the same slice, which a task has together, to their sum."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            part = np.frombuffer(x.as_buffer(), "<f8")
+            total[i] = total[i] + part if i in total else part
+    if total:
+        yield pa.record_batch([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], schema=_COUNTS)
+
+
 _SAMPLE = pa.schema([("key", pa.int64()), ("types", pa.binary())])
 
 
@@ -307,12 +331,17 @@ def warm_sample(blobs: list[bytes]) -> list[np.ndarray]:
 def trained(ready: DataFrame, model: Model, type_counts: np.ndarray, gain: float = GAIN) -> Model:
     """Baum-Welch over all training documents, until the log likelihood per token gains less than ``gain``."""
     states, n_types, before = len(model.initial), len(type_counts), None
-    sums = [F.sum(F.col("n")[j]).alias(f"n{j}") for j in range(states)]
     while True:
-        initial, moves, emitted, log = np.zeros(states), np.zeros((states, states)), np.zeros((n_types, states)), np.zeros((1, states))
-        for r in ready.mapInArrow(_expectation(model, n_types), _COUNTS_SQL).groupBy("kind", "row").agg(*sums).collect():  # n_types rows and a few
-            (initial[None], moves, emitted, log)[r[0]][r[1]] = r[2:]
-        now = log[0, 0] / max(1.0, type_counts.sum())
+        head, emitted = np.zeros(1 + states + states * states), np.zeros((n_types, states))
+        counts = ready.mapInArrow(_expectation(model, n_types), _COUNTS_SQL).repartition("slice").mapInArrow(tidy(_summed), _COUNTS_SQL)
+        for i, x in counts.collect():  # a row for each slice of types and one
+            part = np.frombuffer(bytes(x), "<f8")
+            if i < 0:
+                head = part
+            else:
+                emitted[i * SLICE : (i + 1) * SLICE] = part.reshape(-1, states)
+        log, initial, moves = head[0], head[1 : 1 + states], head[1 + states :].reshape(states, states)
+        now = log / max(1.0, type_counts.sum())
         model = Model.fitted(initial, moves, emitted, type_counts)
         if before is not None and now - before < gain:
             return model
