@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -427,3 +428,19 @@ def test_an_iteration_sends_few_rows_that_sum_to_the_counts():
     a, b, c, log = hmm_lm.expected(chains.Chain(chains.firsts(lengths[~held])), types, model.ratio[types], model.initial, model.trans, n_types)
     assert np.allclose(total.pop(-1), 4 * np.concatenate([[log], a, b.ravel()]), rtol=1e-4)
     assert np.allclose(np.concatenate([total[i] for i in sorted(total)]).reshape(-1, 3), 4 * c, atol=1e-3)
+
+
+def test_near_copies_stage_with_many_links_takes_few_jobs(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(40 * g + i, f"{text} w{i}") for g in range(12) for text in [" ".join(f"x{rng.randrange(5000)}" for _ in range(95))] for i in range(40)]
+    docs, sc, kept, jobs = spark.createDataFrame(rows, "doc_id long, text string"), spark.sparkContext, {}, {}
+    for most in (1 << 20, 300):
+        monkeypatch.setattr("tidemark.llm.components.ONE_TASK", most)
+        sc.setJobGroup(f"near-copies-{most}", "")
+        try:
+            kept[most] = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        jobs[most] = len(sc.statusTracker().getJobIdsForGroup(f"near-copies-{most}"))
+    assert kept[300] == kept[1 << 20]
+    assert jobs[300] <= jobs[1 << 20] + 40
