@@ -444,3 +444,16 @@ def test_near_copies_stage_with_many_links_takes_few_jobs(spark, monkeypatch):
         jobs[most] = len(sc.statusTracker().getJobIdsForGroup(f"near-copies-{most}"))
     assert kept[300] == kept[1 << 20]
     assert jobs[300] <= jobs[1 << 20] + 40
+
+
+def test_near_copies_stage_writes_no_raw_links_and_takes_few_jobs(spark):
+    rng = random.Random(9)
+    rows = [(20 * g + i, f"{text} w{rng.randrange(10**6)}") for g in range(30) for text in [" ".join(f"x{rng.randrange(5000)}" for _ in range(60))] for i in range(20)]
+    sc = spark.sparkContext
+    sc.setJobGroup("near-copies", "")
+    try:
+        kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").count()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 30 <= kept < 300
+    assert len(sc.statusTracker().getJobIdsForGroup("near-copies")) <= 42

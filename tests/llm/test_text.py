@@ -169,6 +169,19 @@ def test_many_links_of_few_nodes_take_few_jobs(spark, monkeypatch):
     assert len(sc.statusTracker().getJobIdsForGroup("few-jobs")) <= 14
 
 
+def test_links_are_written_contracted(spark, monkeypatch):
+    links = spark.createDataFrame([(100 * g + a, 100 * g + b) for g in range(40) for a in range(16) for b in range(a)], "u long, v long")
+    written, save = [], Scratch.save
+
+    def counted(self, df, *rest):
+        written.append((out := save(self, df, *rest)).count())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    got = {r["node"]: r["root"] for r in components(links, Scratch(spark, "t")).collect()}
+    assert got == {100 * g + a: 100 * g for g in range(40) for a in range(16)}
+    assert max(written) <= 700  # of 4800 links
+
 
 # Token files
 
